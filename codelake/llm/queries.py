@@ -12,6 +12,7 @@ from .minhash import near_duplicates
 from .mixing import mixing_plan
 from .shared import table
 from .sharding import shard_by_bytes
+from .toxicity import fit, fold, score_toxicity, training_rows
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +28,19 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit(training_rows(documents, table(spark, sf_dir, "labels"), fold("l_id") == 1))
+    scored = score_toxicity(documents, model)
+    return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op8_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,8 +18,10 @@ SKETCH = 64
 SHARED = 0.5625
 """Share of a sketch's values that a candidate's must hold. A pair at Jaccard 0.8 shares Binomial(64, 0.8) values of the
 union's sketch, 51 of 64 on average; fewer than 36 has a probability of 4e-6. Sets within the sketch are exact."""
-BLOCK = 128
-"""Members of an inverted list that meet in one task; longer lists are compared block by block."""
+BLOCK = 256
+"""Members of an inverted list on each side of a block; longer lists are compared block by block."""
+LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, 24))
+"""Masks for the second round: a list's members meet the one whose id, under each mask, is smallest."""
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -51,50 +53,64 @@ def _whole(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), blobs], ["id", "whole"])
 
 
+def _estimate(x: np.ndarray, y: np.ndarray, k: int) -> bool:
+    """Whether enough of the union's sketch lies in both sets; sets within the sketch are left to the exact test."""
+    if max(len(x), len(y)) <= k:
+        return True
+    merged = np.sort(np.concatenate([x[:k], y[:k]]))
+    twice = merged[1:] == merged[:-1]
+    union = np.concatenate([merged[:1], merged[1:][~twice]])[:k]
+    return np.count_nonzero(twice & (merged[1:] <= union[-1])) >= SHARED * len(union) - 1e-9
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
+    """Size bound, union-sketch estimate, then exact Jaccard of two whole sets, sorted as unsigned."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not _estimate(x, y, k):
+        return False
+    common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Pairs that pass the union-sketch estimate and then the exact test on whole sets."""
+    """(a, b, whole_a, whole_b) -> the pairs that link."""
     for batch in batches:
         a, b, sets_a, sets_b = (batch.column(i) for i in range(4))
-        hit = np.zeros(len(a), bool)
-        for i in range(len(a)):
-            x, y = (np.frombuffer(s[i].as_buffer(), np.uint64) for s in (sets_a, sets_b))
-            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                continue
-            sx, sy = x[:k], y[:k]
-            merged = np.sort(np.concatenate([sx, sy]))
-            twice = merged[1:] == merged[:-1]
-            union = np.concatenate([merged[:1], merged[1:][~twice]])[:k]
-            if np.count_nonzero(twice & (merged[1:] <= union[-1])) < SHARED * len(union) - 1e-9 and max(len(x), len(y)) > k:
-                continue
-            place = np.searchsorted(y, x)
-            common = np.count_nonzero(y[np.minimum(place, len(y) - 1)] == x)
-            hit[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        keep = pa.array(hit)
+        view = lambda s, i: np.frombuffer(s[i].as_buffer(), np.uint64)
+        keep = pa.array([_linked(view(sets_a, i), view(sets_b, i), percent, k) for i in range(len(a))], pa.bool_())
         yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs over components within each block pair, whose sketches share enough values. Rows come sorted by block pair."""
-
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        ids, n, comp, side, i, j = (rows.column(c).to_numpy() for c in ("id", "n", "comp", "side", "i", "j"))
-        sketch = rows.column("sketch").combine_chunks()
-        size = np.diff(sketch.offsets.to_numpy())
-        values, at = np.unique(sketch.flatten().to_numpy(), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        groups = np.searchsorted(at[order], np.arange(len(values) + 1))
-        owner = np.repeat(np.arange(len(ids)), size)[order]
-        shared = np.zeros((len(ids), len(ids)), np.int32)
-        for lo, hi in zip(groups[:-1].tolist(), groups[1:].tolist(), strict=True):
-            if hi - lo > 1:
-                shared[np.ix_(owner[lo:hi], owner[lo:hi])] += 1
-        ok = (shared >= SHARED * np.maximum(size[:, None], size[None, :])) & (comp[:, None] != comp[None, :]) & (ids[:, None] < ids[None, :])
-        ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
-        if i[0] != j[0]:
-            ok &= side[:, None] != side[None, :]
-        i, j = np.nonzero(ok)
-        return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["a", "b"])
+def _block(rows: pa.Table, percent: int, k: int) -> pa.RecordBatch:
+    """The links between different components in one block of an inverted list.
 
+    Rows of side 0 meet those of side 1, or all meet all where there is no side 0. A pair that meets in several lists is
+    left to the one of its smallest common prefix value.
+    """
+    ids, n, comp, side = (rows.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
+    whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("whole")]
+    prefix = [np.asarray(x, np.int64) for x in rows.column("prefix").to_pylist()]
+    size = np.minimum(n, k)
+    values, at, count = np.unique(np.concatenate([x[:k] for x in whole]), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(ids)), size)
+    common = np.flatnonzero(count > 1)
+    shared = np.zeros((len(ids), len(ids)), np.float32)
+    for lo in range(0, len(common), 4096):
+        column = np.full(len(values), -1)
+        column[common[lo : lo + 4096]] = np.arange(len(common[lo : lo + 4096]))
+        has = column[at] >= 0
+        held = np.zeros((len(ids), len(common[lo : lo + 4096])), np.float32)
+        held[owner[has], column[at][has]] = 1
+        shared += held @ held.T
+    ok = (shared >= SHARED * np.maximum(size[:, None], size[None, :]) - 1e-6) & (comp[:, None] != comp[None, :])
+    ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+    ok &= (side[:, None] < side[None, :]) if (side == 0).any() else (ids[:, None] < ids[None, :])
+    value = rows.column("value")[0].as_py()
+    pairs = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(ok), strict=True) if np.intersect1d(prefix[i], prefix[j])[0] == value and _linked(whole[i], whole[j], percent, k)]
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (value, i, j), each such run being one block."""
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
@@ -104,10 +120,10 @@ def _blocks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         keys = np.stack([rows.column(c).to_numpy() for c in ("value", "i", "j")])
         cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            yield pairs(rows.slice(lo, hi - lo))
+            yield _block(rows.slice(lo, hi - lo), percent, k)
         held = rows.slice(cuts[-1])
     if held is not None and len(held):
-        yield pairs(held)
+        yield _block(held, percent, k)
 
 
 def _alike(percent: int) -> Column:
@@ -122,8 +138,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts without words are empty and link with nothing. Equal sets meet first, by a 128-bit signature; the rest runs
     over one row per set. Of each sketch the values rarest in the corpus enter the inverted lists, as many as a pair
     that shares enough values must have one in common among: passages that many texts hold then make no lists unless
-    most of a text is such. The members of a list are compared with its smallest and largest id; what these links leave
-    in different components is compared block by block, all against all, so no link between components is lost.
+    most of a text is such. A list's members are first compared with its smallest id, then, where they are still in
+    different components, with a few others; in the lists that still hold several components all members outside the
+    largest one are compared with all others, block by block. So no link between components is lost, and a large group of
+    near copies costs a multiple of its size, not its square.
     Rows that share an id should share a text. A null id names no component: such a row is kept, with its text's component
     if a row with an id has the same set.
     """
@@ -139,14 +157,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     values = reps.select("id", "n", size.alias("m"), (size - need + 1).alias("width"), F.explode("sketch").alias("value"))
     frequent = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
     shared = values.join(frequent, "value")
-    rarest = (
+    prefixes = cut(
         shared.groupBy("id", "n", "m", "width").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("vs"))  # at most a sketch
         .withColumn("left", F.col("width") - (F.col("m") - F.size("vs"))).filter("left > 0")
-        .select("id", "n", F.explode(F.slice("vs", F.lit(1), F.col("left"))).alias("v")).select("id", "n", F.col("v.value").alias("value"))
+        .select("id", "n", F.slice("vs", F.lit(1), F.col("left"))["value"].alias("prefix")),
+        "prefixes",
     )
-    lists = cut(rarest, "lists")
-    ends = cut(lists.groupBy("value").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("len")).filter("len > 1"), "ends")
-    members = lists.join(ends, "value")
+    lists = prefixes.select("id", "n", F.explode("prefix").alias("value"))
+    ends = cut(lists.groupBy("value").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("len")).filter("len > 1"), "ends")
+    members = cut(lists.join(ends, "value"), "members")
 
     near = members.select("id").distinct()
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(near, "id", "left_semi").dropDuplicates(["id"])
@@ -157,33 +176,45 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "whole_a", "whole_b")
         return cut(both.mapInArrow(lambda it: _confirm(it, percent, SKETCH), "a long, b long"), "links")
 
-    def of(links: DataFrame, rows: DataFrame, c: str) -> DataFrame:
-        found = links.select(F.col("node").alias(c), F.col("component").alias(f"comp_{c}"))
-        return rows.join(found, c, "left").withColumn(f"comp_{c}", F.coalesce(f"comp_{c}", c))
+    def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The members with their components so far, and the lists that hold more than one."""
+        known = cut(components(links).select(F.col("node").alias("id"), F.col("component").alias("comp")), "known")
+        placed = cut(members.join(known, "id", "left").withColumn("comp", F.coalesce("comp", "id")), "placed")
+        ends = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("value")
+        return known, placed.join(cut(ends, "mixed"), "value")
 
     sizes = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"))
-    links, known = None, None
-    for end in ("low", "high"):
-        pairs = members.filter(F.col("id") != F.col(end)).select(F.least("id", end).alias("a"), F.greatest("id", end).alias("b")).distinct()
-        pairs = pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(_alike(percent)).select("a", "b")
-        if known is not None:
-            pairs = of(known, of(known, pairs, "a"), "b").filter("comp_a <> comp_b").select("a", "b")
-        new = confirmed(pairs)
-        links = new if links is None else links.union(new)
-        known = cut(components(links), "known")
-
-    placed = cut(of(known, members.select("value", "len", F.col("id").alias("a"), "n"), "a").select("value", "len", F.col("a").alias("id"), "n", F.col("comp_a").alias("comp")), "placed")
-    mixed = cut(placed.groupBy("value").agg(F.min("comp").alias("c_low"), F.max("comp").alias("c_high")).filter("c_low < c_high").select("value"), "mixed")
-    parts = F.ceil(F.col("len") / BLOCK)
+    both = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    fits = lambda pairs: pairs.join(sizes("a"), "a").join(sizes("b"), "b").filter(_alike(percent)).select("a", "b")
+    links = confirmed(fits(members.filter("id <> leader").select(*both("id", "leader")).distinct()))
+
+    known, mixed = grouped(links)
+    mixed = cut(mixed, "mixed-members")
+    more = cut(mixed.groupBy("value").agg(F.array(*(F.min(F.col("id").bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)) for m in LEADERS)).alias("leaders")), "leaders")
+    pairs = mixed.join(more, "value").select("id", "comp", F.explode(F.array_distinct("leaders")).alias("leader")).filter("id <> leader")
+    pairs = pairs.distinct().join(known.select(F.col("id").alias("leader"), F.col("comp").alias("to")), "leader", "left").filter(F.col("comp") != F.coalesce("to", "leader"))
+    links = links.union(confirmed(fits(pairs.select(*both("id", "leader")).distinct())))
+
+    _, mixed = grouped(links)
+    mixed = cut(mixed, "mixed-members")
+    crowd = mixed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mains"))
+    near = mixed.join(cut(crowd, "crowds"), "value").withColumns({"other": (F.col("comp") != F.col("main")).cast("int"), "mb": F.ceil(F.col("mains") / BLOCK), "ob": F.ceil((F.col("len") - F.col("mains")) / BLOCK)})
+    at = F.when(F.col("other") == 1, F.pmod(F.xxhash64("id"), F.col("ob"))).otherwise(F.pmod(F.xxhash64("id"), F.col("mb")))
+    upto = lambda last: F.sequence(F.lit(0).cast("long"), last - 1)
+    meets = F.when(
+        F.col("other") == 1,
+        F.concat(
+            F.transform(upto(F.col("mb")), lambda x: F.struct(x.alias("i"), (-1 - F.col("at")).alias("j"), F.lit(1).alias("side"))),
+            F.transform(upto(F.col("ob")), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), F.when(F.col("at") == x, 2).otherwise((F.col("at") > x).cast("int")).alias("side"))),
+        ),
+    ).otherwise(F.transform(upto(F.col("ob")), lambda x: F.struct(F.col("at").alias("i"), (-1 - x).alias("j"), F.lit(0).alias("side"))))
     blocks = (
-        placed.join(mixed, "value").join(reps.select("id", "sketch"), "id")
-        .withColumn("own", F.pmod(F.xxhash64("id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "comp", "sketch")
+        near.withColumn("at", at).select("value", "id", "n", "comp", F.explode(meets).alias("to")).select("value", "to.*", "id", "n", "comp")
+        .join(whole.join(prefixes.select("id", "prefix"), "id"), "id")
         .repartition(partitions(spark), "value", "i", "j").sortWithinPartitions("value", "i", "j")
     )
-    rest = blocks.mapInArrow(lambda it: _blocks(it, percent), "a long, b long").distinct()
-    links = links.union(confirmed(rest))
-    found = components(links).withColumnRenamed("node", "rep")
+    rest = cut(blocks.mapInArrow(lambda it: _blocks(it, percent, SKETCH), "a long, b long"), "links")
+    found = components(links.union(rest)).withColumnRenamed("node", "rep")
 
     classes = first.join(found, "rep", "left").select("sig_a", "sig_b", F.col("n").alias("n_c"), F.coalesce("component", "rep").alias("component"))
     at = [base["sig_a"] == classes["sig_a"], base["sig_b"] == classes["sig_b"], base["n"] == classes["n_c"], base["n"] > 0]

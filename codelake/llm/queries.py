@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import language
 from .embed_dedup import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixing_plan
@@ -28,6 +29,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents, fold("doc_id") == 1)
+    found = language.identify(documents, model)
+    return found.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(training_rows(documents, table(spark, sf_dir, "labels"), fold("l_id") == 1))
@@ -40,7 +48,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op8_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op7_language_id, op8_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -99,7 +99,7 @@ def build(references: dict[str, bytes]) -> Automata:
         flat = np.full(len(rows) * width, -1, np.int32)
         for s, to in enumerate(rows):
             for c, q in to.items():
-                flat[s * width + classes[c]] = base + q
+                flat[s * width + int(classes[c])] = base + q
         parts.append(flat)
         roots.append(base)
         base += len(rows)

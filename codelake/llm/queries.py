@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language
+from . import bpe, language
 from .embed_dedup import near_vectors
 from .minhash import near_duplicates
 from .mixing import mixing_plan
@@ -16,6 +16,13 @@ from .sharding import shard_by_bytes
 from .toxicity import fit, fold, score_toxicity, training_rows
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = shard_by_bytes(table(spark, sf_dir, "documents"), shards=8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -29,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_plan(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = language.fit(documents, fold("doc_id") == 1)
@@ -48,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op7_language_id, op8_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, language
 from .embed_dedup import near_vectors
+from .media import payload_features, store_payloads
 from .minhash import near_duplicates
 from .mixing import mixing_plan
 from .shared import table
@@ -28,6 +29,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload_features(store_payloads(table(spark, sf_dir, "documents")))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -59,7 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_media, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

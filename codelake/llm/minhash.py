@@ -164,7 +164,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "prefixes",
     )
     lists = prefixes.select("id", "n", F.explode("prefix").alias("value"))
-    ends = cut(lists.groupBy("value").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("len")).filter("len > 1"), "ends")
+    mark = lambda k: F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"mark_{k}")
+    ends = lists.groupBy("value").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("len"), mark(1), mark(2)).filter("len > 1")
+    ends = cut(ends.groupBy("leader", "len", "mark_1", "mark_2").agg(F.min("value").alias("value")).select("value", "leader", "len"), "ends")  # one of the lists with the same members
     members = cut(lists.join(ends, "value"), "members")
 
     near = members.select("id").distinct()
@@ -208,9 +210,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.transform(upto(F.col("ob")), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), F.when(F.col("at") == x, 2).otherwise((F.col("at") > x).cast("int")).alias("side"))),
         ),
     ).otherwise(F.transform(upto(F.col("ob")), lambda x: F.struct(F.col("at").alias("i"), (-1 - x).alias("j"), F.lit(0).alias("side"))))
+    kept = members.groupBy("id").agg(F.collect_list("value").alias("prefix"))  # at most a prefix
     blocks = (
         near.withColumn("at", at).select("value", "id", "n", "comp", F.explode(meets).alias("to")).select("value", "to.*", "id", "n", "comp")
-        .join(whole.join(prefixes.select("id", "prefix"), "id"), "id")
+        .join(whole.join(kept, "id"), "id")
         .repartition(partitions(spark), "value", "i", "j").sortWithinPartitions("value", "i", "j")
     )
     rest = cut(blocks.mapInArrow(lambda it: _blocks(it, percent, SKETCH), "a long, b long"), "links")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import bpe, language
 from .embed_dedup import near_vectors
+from .line_dedup import dedup_lines
 from .media import payload_features, store_payloads
 from .minhash import near_duplicates
 from .mixing import mixing_plan
@@ -59,12 +60,16 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id") == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", F.col("n_lines").cast("long"), F.col("n_removed").cast("long"), "text")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_media, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op9_line_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

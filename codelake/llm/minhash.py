@@ -81,14 +81,14 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterato
 
 
 def _block(rows: pa.Table, percent: int, k: int) -> pa.RecordBatch:
-    """The links between different components in one block of an inverted list.
+    """The links between different components in one block.
 
-    Rows of side 0 meet those of side 1, or all meet all where there is no side 0. A pair that meets in several lists is
-    left to the one of its smallest common prefix value.
+    Rows of side 0 meet those of side 1, or all meet all where there is no side 0. A pair that meets in several inverted
+    lists is left to the one of its smallest common value.
     """
     ids, n, comp, side = (rows.column(c).to_numpy() for c in ("id", "n", "comp", "side"))
     whole = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("whole")]
-    prefix = [np.asarray(x, np.int64) for x in rows.column("prefix").to_pylist()]
+    prefix = [np.asarray(x or (), np.int64) for x in rows.column("prefix").to_pylist()]
     size = np.minimum(n, k)
     values, at, count = np.unique(np.concatenate([x[:k] for x in whole]), return_inverse=True, return_counts=True)
     owner = np.repeat(np.arange(len(ids)), size)
@@ -104,20 +104,21 @@ def _block(rows: pa.Table, percent: int, k: int) -> pa.RecordBatch:
     ok = (shared >= SHARED * np.maximum(size[:, None], size[None, :]) - 1e-6) & (comp[:, None] != comp[None, :])
     ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     ok &= (side[:, None] < side[None, :]) if (side == 0).any() else (ids[:, None] < ids[None, :])
-    value = rows.column("value")[0].as_py()
-    pairs = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(ok), strict=True) if np.intersect1d(prefix[i], prefix[j])[0] == value and _linked(whole[i], whole[j], percent, k)]
+    key = rows.column("key")[0].as_py()
+    mine = (lambda i, j: np.intersect1d(prefix[i], prefix[j])[0] == key) if rows.column("as_lists")[0].as_py() else (lambda i, j: True)
+    pairs = [(ids[i], ids[j]) for i, j in zip(*np.nonzero(ok), strict=True) if mine(i, j) and _linked(whole[i], whole[j], percent, k)]
     return pa.RecordBatch.from_arrays([pa.array([x[c] for x in pairs], pa.int64()) for c in (0, 1)], ["a", "b"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], percent: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (value, i, j), each such run being one block."""
+    """Rows come sorted by (as_lists, key, i, j), each such run being one block."""
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = pa.concat_tables([held, rows]) if held is not None else rows
         if not len(rows):
             continue
-        keys = np.stack([rows.column(c).to_numpy() for c in ("value", "i", "j")])
+        keys = np.stack([rows.column(c).to_numpy() for c in ("as_lists", "key", "i", "j")])
         cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist()]
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             yield _block(rows.slice(lo, hi - lo), percent, k)
@@ -130,6 +131,33 @@ def _alike(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
+def _crowds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id, n, comp, cluster), and for each key its largest component, the number of its members and of the
+    others, and the blocks that each of both fill."""
+    rows = cut(rows, "group-members")
+    counts = rows.groupBy("key", "cluster", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key", "cluster")
+    crowd = counts.agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mains"), F.sum("c").alias("all")).filter("mains < all")
+    crowd = crowd.withColumn("others", F.col("all") - F.col("mains")).drop("all")
+    return rows, cut(crowd.withColumns({"mb": F.ceil(F.col("mains") / BLOCK), "ob": F.ceil(F.col("others") / BLOCK)}), "crowds")
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """Each row once for each block it is in: members of a key's largest component (side 0) meet each block of the
+    others (side 1), and the others' blocks meet each other and, as side 2, themselves."""
+    other = F.col("comp") != F.col("main")
+    at = F.pmod(F.xxhash64("id"), F.when(other, F.col("ob")).otherwise(F.col("mb")))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    meet = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), side.alias("side"))
+    block = F.col("at")
+    inside = F.when(block == F.col("x"), F.lit(2)).otherwise((block > F.col("x")).cast("int"))
+    rows = rows.withColumn("at", at)
+    mains = rows.filter(~other).withColumn("x", F.explode(upto("ob"))).withColumn("to", meet(block, -1 - F.col("x"), F.lit(0)))
+    met = rows.filter(other).withColumn("x", F.explode(upto("mb"))).withColumn("to", meet(F.col("x"), -1 - block, F.lit(1)))
+    among = rows.filter(other).withColumn("x", F.explode(upto("ob"))).withColumn("to", meet(F.least(block, F.col("x")), F.greatest(block, F.col("x")), inside))
+    keep = ["as_lists", "key", "to.i", "to.j", "to.side", "id", "n", "comp"]
+    return mains.select(*keep).union(met.select(*keep)).union(among.select(*keep))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id`` (smallest id reachable), ``kept`` (is that id).
 
@@ -140,7 +168,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that shares enough values must have one in common among: passages that many texts hold then make no lists unless
     most of a text is such. A list's members are first compared with its smallest id, then, where they are still in
     different components, with a few others; in the lists that still hold several components all members outside the
-    largest one are compared with all others, block by block. So no link between components is lost, and a large group of
+    largest one are compared with all others, block by block, list by list or over all connected lists at once, whichever
+    sends fewer rows. So no link between components is lost, and a large group of
     near copies costs a multiple of its size, not its square.
     Rows that share an id should share a text. A null id names no component: such a row is kept, with its text's component
     if a row with an id has the same set.
@@ -199,22 +228,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     _, mixed = grouped(links)
     mixed = cut(mixed, "mixed-members")
-    crowd = mixed.groupBy("value", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("value").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("mains"))
-    near = mixed.join(cut(crowd, "crowds"), "value").withColumns({"other": (F.col("comp") != F.col("main")).cast("int"), "mb": F.ceil(F.col("mains") / BLOCK), "ob": F.ceil((F.col("len") - F.col("mains")) / BLOCK)})
-    at = F.when(F.col("other") == 1, F.pmod(F.xxhash64("id"), F.col("ob"))).otherwise(F.pmod(F.xxhash64("id"), F.col("mb")))
-    upto = lambda last: F.sequence(F.lit(0).cast("long"), last - 1)
-    meets = F.when(
-        F.col("other") == 1,
-        F.concat(
-            F.transform(upto(F.col("mb")), lambda x: F.struct(x.alias("i"), (-1 - F.col("at")).alias("j"), F.lit(1).alias("side"))),
-            F.transform(upto(F.col("ob")), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), F.when(F.col("at") == x, 2).otherwise((F.col("at") > x).cast("int")).alias("side"))),
-        ),
-    ).otherwise(F.transform(upto(F.col("ob")), lambda x: F.struct(F.col("at").alias("i"), (-1 - x).alias("j"), F.lit(0).alias("side"))))
+    clusters = cut(components(mixed.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
+    whole_cluster = mixed.join(clusters, "id").select(F.col("cluster").alias("key"), "id", "n", "comp", "cluster").distinct()
+    by_list = mixed.join(clusters.withColumnRenamed("id", "leader"), "leader").select(F.col("value").alias("key"), "id", "n", "comp", "cluster")
+    by_list, whole_cluster = _crowds(by_list), _crowds(whole_cluster)
+    cost = lambda crowd, name: crowd.groupBy("cluster").agg(F.sum(F.col("mains") * F.col("ob") + F.col("others") * (F.col("mb") + F.col("ob"))).alias(name))
+    cheaper = cut(cost(by_list[1], "lists").join(cost(whole_cluster[1], "whole"), "cluster").select("cluster", (F.col("lists") <= F.col("whole")).alias("as_lists")), "cheaper")
+    placed = [rows.join(crowd.drop("cluster"), "key").join(cheaper, "cluster").filter(F.col("as_lists") == kind) for (rows, crowd), kind in ((by_list, True), (whole_cluster, False))]
     kept = members.groupBy("id").agg(F.collect_list("value").alias("prefix"))  # at most a prefix
     blocks = (
-        near.withColumn("at", at).select("value", "id", "n", "comp", F.explode(meets).alias("to")).select("value", "to.*", "id", "n", "comp")
-        .join(whole.join(kept, "id"), "id")
-        .repartition(partitions(spark), "value", "i", "j").sortWithinPartitions("value", "i", "j")
+        _meetings(placed[0].union(placed[1])).join(whole.join(kept, "id"), "id")
+        .withColumn("prefix", F.when(F.col("as_lists"), F.col("prefix")))
+        .repartition(partitions(spark), "as_lists", "key", "i", "j").sortWithinPartitions("as_lists", "key", "i", "j")
     )
     rest = cut(blocks.mapInArrow(lambda it: _blocks(it, percent, SKETCH), "a long, b long"), "links")
     found = components(links.union(rest)).withColumnRenamed("node", "rep")

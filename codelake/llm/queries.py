@@ -13,10 +13,12 @@ from .line_dedup import dedup_lines
 from .media import payload_features, store_payloads
 from .minhash import near_duplicates
 from .mixing import mixing_plan
-from .shared import table
+from .shared import scratch, table
 from .sharding import shard_by_bytes
 from .toxicity import fit, fold, score_toxicity, training_rows
 
+from .warc import read_warc, write_warc
+
 
 def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file on the driver."""
@@ -34,6 +36,12 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload_features(store_payloads(table(spark, sf_dir, "documents")))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = scratch(spark, "warc")
+    manifest = write_warc(table(spark, sf_dir, "pages"), out)
+    return read_warc(manifest, out, payloads=False).select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
@@ -69,7 +77,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_media, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op9_line_dedup, op10_minhash)}
+    return {f.__name__: f for f in (op1_sharding, op2_media, op3_warc, op4_embedding_dedup, op5_mixing, op6_bpe, op7_language_id, op8_toxicity, op9_line_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

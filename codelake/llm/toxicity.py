@@ -159,6 +159,24 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
+def _scores(model: Model, lo: int, hi: int, tokens: np.ndarray, passages: dict[int, list[tuple[int, int, float]]]) -> np.ndarray:
+    x = np.array([_evidence(model, int(tokens[d]), passages[d]) if d in passages else 0.0 for d in range(hi - lo)])
+    steep = 4.0 / max(model.cut, 1e-6)
+    return 1 / (1 + np.exp(-np.clip(steep * (x - model.cut) + math.log(0.7 / 0.3), -700, 700)))
+
+
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows of ``df`` whose text scores below ``threshold``, all columns as they are."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, tokens, _, passages in _scan(batch.column(at), model):
+                yield batch.slice(lo, hi - lo).filter(pa.array(_scores(model, lo, hi, tokens, passages) < threshold))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, ``score`` (0 to 1), ``passages`` (start, end in UTF-8 bytes, score).
 
@@ -167,14 +185,11 @@ def score_toxicity(df: DataFrame, model: Model, id_col: str = "doc_id", text_col
     passes 0.7 at the evidence that best parts the training classes. Null and empty texts have no passage and score as
     a text without toxic features. Repeated rows score alike.
     """
-    steep = 4.0 / max(model.cut, 1e-6)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
             for lo, hi, tokens, _, passages in _scan(batch.column(1), model):
-                x = np.array([_evidence(model, int(tokens[d]), passages[d]) if d in passages else 0.0 for d in range(hi - lo)])
-                score = 1 / (1 + np.exp(-np.clip(steep * (x - model.cut) + math.log(0.7 / 0.3), -700, 700)))
+                score = _scores(model, lo, hi, tokens, passages)
                 found = pa.array([[{"start": a, "end": b, "score": s} for a, b, s in passages.get(d, [])] for d in range(hi - lo)], kind)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(score), found], ["id", "score", "passages"])
 

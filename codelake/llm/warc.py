@@ -66,7 +66,7 @@ def planned(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
 
     Equal payloads of LEAST bytes or more refer to the page of the smallest key among them; a null key refers to another
     page but none refers to it. Shards are equal parts of the bytes to write in the order of keys, from prefix sums, so
-    they depend on the pages and the number of shards alone.
+    they depend on the pages and the number of shards alone (the writer keeps pages of one key together).
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -87,6 +87,7 @@ def planned(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
 def write_warc(pages: DataFrame, out: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write one record for each page below ``out`` and return the manifest (``MANIFEST``).
 
+    The payloads are dealt once, by the first keys of the shards, and meet what is planned for them in sorted order.
     Records are sorted by key within contiguous shards; each shard's files roll at ``roll_bytes`` compressed. A task
     writes under names of its own attempt and reports them in a manifest that Spark commits for the attempt that wins;
     then the files get their names, and what other attempts left is removed. A null payload is empty; a null key has an
@@ -95,17 +96,20 @@ def write_warc(pages: DataFrame, out: str, key_col: str = "page_id", url_col: st
     spark = pages.sparkSession
     plan = planned(pages, key_col, url_col, payload_col)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    html = pages.select(F.col(key_col).cast("long").alias("p_key"), F.col(url_col).alias("p_url"), F.sha2(payload, 256).alias("p_digest"), payload.alias("payload"))
-    same = F.col("key").eqNullSafe(F.col("p_key")) & (F.col("digest") == F.col("p_digest")) & F.col("url").eqNullSafe(F.col("p_url"))
-    rows = html.join(plan.dropDuplicates(["key", "digest", "url"]), same).select("shard", "key", "url", "digest", "refers_to", "refers_url", "payload")
-    rows = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "key", "digest", "url")
+    starts = [r.start for r in plan.groupBy("shard").agg(F.min("key").alias("start")).orderBy("shard").collect()[1:]]  # one of each shard
+    shard = F.size(F.filter(F.array(*map(F.lit, starts)).cast("array<long>"), lambda x: x <= F.col("key")))
+    order = ["shard", "key", "digest", "url", "tag"]
+    facts = plan.dropDuplicates(["key", "digest", "url"]).select("key", "digest", "url", F.lit(0).alias("tag"), "refers_to", "refers_url", F.lit(None).cast("binary").alias("payload"))
+    html = pages.select(F.col(key_col).cast("long").alias("key"), F.sha2(payload, 256).alias("digest"), F.col(url_col).alias("url"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"), payload.alias("payload"))
+    rows = facts.union(html).withColumn("shard", F.when(F.col("key").isNull(), 0).otherwise(shard))
+    rows = rows.select(*order, "refers_to", "refers_url", "payload").repartition(partitions(spark), "shard").sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = table_fs(out)
         store.create_dir(root, recursive=True)
         attempt = TaskContext.get().taskAttemptId()
         done: list[dict] = []
-        shard, seq, sink, digest, size, records, temp = None, 0, None, None, 0, 0, ""
+        shard, seq, sink, digest, size, records, temp, refers_to, refers_url = None, 0, None, None, 0, 0, "", None, None
 
         def close() -> None:
             nonlocal sink
@@ -122,14 +126,17 @@ def write_warc(pages: DataFrame, out: str, key_col: str = "page_id", url_col: st
 
         for batch in batches:
             for i in range(len(batch)):
-                s, key, url, sha, refers_to, refers_url = (batch.column(c)[i].as_py() for c in range(6))
+                s, key, sha, url, tag = (batch.column(c)[i].as_py() for c in range(5))
+                if not tag:  # what is known of the page that the next rows are
+                    refers_to, refers_url = (batch.column(c)[i].as_py() for c in (5, 6))
+                    continue
                 if sink is None or s != shard or size >= roll_bytes:
                     close()
                     seq, shard = (seq + 1 if s == shard else 0), s
                     temp = f"{shard:06d}-{seq:05d}.{attempt}.tmp"
                     sink, digest, size, records = store.open_output_stream(f"{root}/{temp}", compression=None), hashlib.sha256(), 0, 0
                     put(_record("warcinfo", [("WARC-Record-ID", _urn("info", shard, seq)), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                put(_page(key, url, batch.column(6)[i].as_py(), sha, refers_to, refers_url))
+                put(_page(key, url, batch.column(7)[i].as_py(), sha, refers_to, refers_url))
                 records += 1
         close()
         yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("temp", pa.string()), ("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))

@@ -17,10 +17,11 @@ def language_of(path: Column) -> Column:
 
 
 def remote_parts(url: Column) -> Column:
-    """(namespace, repository) of an https or scp-like remote address, without ``.git``; null where it has neither."""
-    path = F.regexp_replace(F.regexp_extract(url, r"^(?:[a-z+]+://[^/]+/|[^/@]+@[^:/]+:)(.+)$", 1), r"(?:\.git)?/?$", "")
-    parts = F.struct(F.regexp_extract(path, r"^(.+)/([^/]+)$", 1).alias("namespace"), F.regexp_extract(path, r"^(.+)/([^/]+)$", 2).alias("repo"))
-    return F.when(path.rlike(r"^.+/[^/]+$"), parts)
+    """(namespace, repo): the last two path segments of an https or scp-like remote address without ``.git``; null where missing."""
+    url = F.trim(url)
+    tail = F.when(url.contains("@"), F.regexp_replace(F.regexp_replace(url, "^[^@]*@", ""), "^[^:]*:", "")).when(url.rlike("^https?://"), F.regexp_replace(F.regexp_replace(url, "^https?://", ""), "^[^/]*/", "")).otherwise(url)
+    parts = F.filter(F.split(F.regexp_replace(tail, r"\.git$", ""), "/"), lambda s: s != "")
+    return F.struct(F.get(parts, F.size(parts) - 2).alias("namespace"), F.get(parts, F.size(parts) - 1).alias("repo"))
 
 
 def header_map(text: Column) -> Column:

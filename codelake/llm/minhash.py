@@ -20,7 +20,7 @@ SHARED = 0.5625
 union's sketch, 51 of 64 on average; fewer than 36 has a probability of 4e-6. Sets within the sketch are exact."""
 BLOCK = 256
 """Members of an inverted list on each side of a block; longer lists are compared block by block."""
-LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, 24))
+LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, 6))
 """Masks for the second round: a list's members meet the one whose id, under each mask, is smallest."""
 
 

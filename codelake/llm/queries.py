@@ -14,6 +14,7 @@ from .media import payload_features, store_payloads
 from .minhash import near_duplicates
 from .mixing import mixing_plan
 from .shared import scratch, table
+from .sql import SQL
 from .sharding import shard_by_bytes
 from .toxicity import fit, fold, score_toxicity, training_rows
 
@@ -81,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, partitions
+from .shared import Spare, partitions
 
 TILE = 512
 """Vectors of a tile."""
@@ -163,7 +163,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     for each pair of tiles, never the pairs, so a large group of close vectors stays small. The work is quadratic in a
     label's distinct vectors as far as first coordinates overlap. Rows that share an id are one node.
     """
-    spark = df.sparkSession
+    spark, cut = df.sparkSession, Spare()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vec_col).alias("v"))
     label = rows.schema["label"].dataType.simpleString()
     base = cut(rows.mapInArrow(_usable, f"id long, label {label}, vec binary"), "vectors")
@@ -196,6 +196,7 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     found = components(links.filter("degree = 0").select("a", "b"))
     degrees = links.filter("degree > 0").groupBy(F.col("a").alias("id")).agg(F.sum("degree").alias("degree"))
     known = cut(classes.select("label", "vec", "id", "n").join(found.withColumnRenamed("node", "id"), "id", "left").join(degrees, "id", "left"), "class-links")
+    cut.drop_but(base, known)
     right = known.select(F.col("label").alias("c_label"), F.col("vec").alias("c_vec"), F.coalesce("component", "id").alias("component"), (F.coalesce("degree", F.lit(0)) + F.col("n") - 1).alias("links"))
     comp = F.coalesce("component", "id")
     return base.join(right, (F.col("label") == F.col("c_label")) & (F.col("vec") == F.col("c_vec")) & F.col("id").isNotNull(), "left").select(

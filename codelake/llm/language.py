@@ -14,6 +14,8 @@ from .words import texts
 
 FIT_CHARS = 32_000
 """Symbols of labelled text in each language's automaton."""
+FIT_TOTAL = 256_000
+"""Symbols of all automata together: with more than 8 languages each gets an equal part."""
 FIT_ROWS = 400
 """Labelled documents of each language that this text is drawn from, by smallest hash of the id."""
 FIT_DOC_CHARS = 400
@@ -156,7 +158,8 @@ def fit(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
         for r in sorted(drawn.distinct().collect(), key=lambda r: (r.lang, r.lot, r.text)):  # at most languages x FIT_ROWS short texts
             for _, _, buf, offs in texts(pa.array([r.text])):
                 parts.setdefault(r.lang, []).append(symbols(buf, offs)[0].tobytes()[:FIT_DOC_CHARS])
-        references = {k: b" ".join(v)[:FIT_CHARS] for k, v in sorted(parts.items())}
+        size = min(FIT_CHARS, FIT_TOTAL // len(parts)) if parts else 0
+        references = {k: b" ".join(v)[:size] for k, v in sorted(parts.items())}
     return build(references)
 
 

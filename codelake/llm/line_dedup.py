@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, own
+from .shared import Spare, own
 
 LINE = r"[^.\n]*[.\n]+ ?|[^.\n]+"
 """A line ends with a line break or a full stop (and a blank after it): prose on one long line has lines too. Lines join to the text."""
@@ -57,6 +57,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     row with an id has it. Rows that share id and text are one document: they keep or lose a chunk alike.
     """
     lines, chunks, key, n_lines, n_removed, gone, left = own(df, "lines", "chunks", "text_key", "n_lines", "n_removed", "gone", "left")
+    cut = Spare()
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
     slim = df.select(F.col(id_col).alias("id"), rank.alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     found = chunked(slim, "text", "lines", "chunks").select("rank", "key", "lines", F.posexplode("chunks").alias("k", "chunk")).filter("chunk.last > chunk.first")
@@ -67,7 +68,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     place = (F.col("rank") * F.lit(2**31).cast("decimal(10,0)") + F.col("k").cast("decimal(10,0)")).cast("decimal(32,0)")
     first = cut(repeated.groupBy("hash", "chunk").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
     lost = repeated.join(first, ["hash", "chunk"]).filter(place != F.col("owner"))
-    lost = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost").select(F.col("rank").alias("l_rank"), F.col("key").alias("l_key"), F.col("ks").alias(gone))
+    last = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost")
+    cut.drop_but(last)
+    lost = last.select(F.col("rank").alias("l_rank"), F.col("key").alias("l_key"), F.col("ks").alias(gone))
 
     named = df.withColumn(key, F.xxhash64(text_col))
     joined = named.join(lost, (rank == F.col("l_rank")) & (F.col(key) == F.col("l_key")), "left")

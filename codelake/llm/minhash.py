@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, partitions
+from .shared import Spare, partitions
 from .words import U, hashes, mix, shingles, spans, texts
 
 SKETCH = 64
@@ -131,7 +131,7 @@ def _alike(percent: int) -> Column:
     return 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
 
 
-def _crowds(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _crowds(rows: DataFrame, cut: Spare) -> tuple[DataFrame, DataFrame]:
     """Rows (key, id, n, comp, cluster), and for each key its largest component, the number of its members and of the
     others, and the blocks that each of both fill."""
     rows = cut(rows, "group-members")
@@ -174,7 +174,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows that share an id should share a text. A null id names no component: such a row is kept, with its text's component
     if a row with an id has the same set.
     """
-    spark = df.sparkSession
+    spark, cut = df.sparkSession, Spare()
     base = cut(sketches(df, id_col, text_col, shingle), "sketches")
     first = base.filter("n > 0 and id is not null").groupBy("sig_a", "sig_b", "n").agg(F.min("id").alias("rep"))
     first = cut(first, "sets")
@@ -231,7 +231,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     clusters = cut(components(mixed.select(F.col("id").alias("a"), F.col("leader").alias("b"))).select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     whole_cluster = mixed.join(clusters, "id").select(F.col("cluster").alias("key"), "id", "n", "comp", "cluster").distinct()
     by_list = mixed.join(clusters.withColumnRenamed("id", "leader"), "leader").select(F.col("value").alias("key"), "id", "n", "comp", "cluster")
-    by_list, whole_cluster = _crowds(by_list), _crowds(whole_cluster)
+    by_list, whole_cluster = _crowds(by_list, cut), _crowds(whole_cluster, cut)
     cost = lambda crowd, name: crowd.groupBy("cluster").agg(F.sum(F.col("mains") * F.col("ob") + F.col("others") * (F.col("mb") + F.col("ob"))).alias(name))
     cheaper = cut(cost(by_list[1], "lists").join(cost(whole_cluster[1], "whole"), "cluster").select("cluster", (F.col("lists") <= F.col("whole")).alias("as_lists")), "cheaper")
     placed = [rows.join(crowd.drop("cluster"), "key").join(cheaper, "cluster").filter(F.col("as_lists") == kind) for (rows, crowd), kind in ((by_list, True), (whole_cluster, False))]
@@ -243,6 +243,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rest = cut(blocks.mapInArrow(lambda it: _blocks(it, percent, SKETCH), "a long, b long"), "links")
     found = components(links.union(rest)).withColumnRenamed("node", "rep")
+    cut.drop_but(base, first)
 
     classes = first.join(found, "rep", "left").select("sig_a", "sig_b", F.col("n").alias("n_c"), F.coalesce("component", "rep").alias("component"))
     at = [base["sig_a"] == classes["sig_a"], base["sig_b"] == classes["sig_b"], base["n"] == classes["n_c"], base["n"] > 0]

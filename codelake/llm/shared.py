@@ -67,6 +67,22 @@ def drop(df: DataFrame) -> None:
     delete(df.sparkSession, df._codelake_path)
 
 
+class Spare:
+    """Cuts of one operator, so that it can drop at its end what its result no longer reads."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        self.made.append(cut(df, name))
+        return self.made[-1]
+
+    def drop_but(self, *kept: DataFrame) -> None:
+        for df in self.made:
+            if all(df is not k for k in kept):
+                drop(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -19,8 +20,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Remove this process's cuts; the session may be gone by then."""
+    for spark, path in _made:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written and read back, so that rounds of a loop do not grow one plan."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

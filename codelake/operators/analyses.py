@@ -80,10 +80,11 @@ def clones(tokens: DataFrame, k: int) -> DataFrame:
     overlap it, and ``others`` counts those.
     """
     windows = cut(token_windows(tokens, k))
-    many = cut(windows.groupBy("h1", "h2").agg(F.min(F.struct("file", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    many = cut(windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2"))
     twice = cut(windows.join(many, ["h1", "h2"]))
-    before = twice.select("file", (F.col("pos") + 1).alias("pos"), F.lit(True).alias("runs"))
-    firsts = twice.filter((F.col("first.file") == F.col("file")) & (F.col("first.pos") == F.col("pos"))).join(before, ["file", "pos"], "left").filter("runs is null")
+    first = twice.groupBy("h1", "h2").agg(F.min(F.struct("file", "pos")).alias("first")).select("h1", "h2", "first.file", "first.pos")
+    before = twice.select("file", (F.col("pos") + 1).alias("pos"))
+    firsts = twice.join(first, ["h1", "h2", "file", "pos"], "left_semi").join(before, ["file", "pos"], "left_anti")
     anchors = firsts.select("h1", "h2", F.col("file").alias("a_file"), F.col("pos").alias("a_pos"), F.col("start_byte").alias("a_start"), F.col("end_byte").alias("a_end"), F.col("start_line").alias("a_line"))
     apart = (F.col("file") != F.col("a_file")) | (F.col("pos") >= F.col("a_pos") + k)
     partner = F.min(F.struct("file", "pos", "start_line")).alias("partner")

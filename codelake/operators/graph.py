@@ -44,11 +44,10 @@ def reachable(roots: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES
     A node is visited again when a strong way to it turns up, so the result is that of two closures. Up to ``local_edges``
     edges one task walks the graph; beyond, each round is a join of the frontier with the edges.
     """
-    edges = edges.groupBy("src", "dst").agg(F.bool_or("strong").alias("strong"))
-    if edges.limit(local_edges + 1).count() <= local_edges:
+    edges = cut(edges.groupBy("src", "dst").agg(F.bool_or("strong").alias("strong")))
+    if edges.count() <= local_edges:
         rows = edges.unionByName(roots.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(True).alias("strong")).distinct())
         return rows.coalesce(1).mapInPandas(_walk, "node string, strong boolean")
-    edges = cut(edges)
     seen = frontier = cut(roots.select("node", F.lit(True).alias("strong")).distinct())
     while not frontier.isEmpty():
         to = frontier.withColumnRenamed("strong", "way").join(edges, F.col("node") == F.col("src"))

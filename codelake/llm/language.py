@@ -44,8 +44,11 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         keep[1:] = (out[1:] != 0x20) | (out[:-1] != 0x20)
         keep[offs[:-1][offs[:-1] < len(out)]] = True
     at = np.concatenate([[0], np.cumsum(keep)])
-    letters = np.concatenate([[0], np.cumsum(out != 0x20)])
-    return out[keep], at[offs], np.diff(letters[offs]) > 0
+    count = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offs])
+    letter = count((out >= 0x61) & (out <= 0x7A)) > 0
+    for d in np.flatnonzero(~letter & (count(out >= 0x80) > 0)).tolist():  # other scripts, or none
+        letter[d] = any(c.isalpha() for c in buf[offs[d] : offs[d + 1]].tobytes().decode("utf-8", "replace"))
+    return out[keep], at[offs], letter
 
 
 @dataclass

@@ -56,7 +56,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     their bytes. Null texts stay null and empty ones empty, with 0 lines. Rows with a null id keep a chunk only where no
     row with an id has it. Rows that share id and text are one document: they keep or lose a chunk alike.
     """
-    lines, chunks, key, n_lines, n_removed, gone, left = own(df, "lines", "chunks", "text_key", "n_lines", "n_removed", "gone", "left")
+    lines, chunks, key, n_lines, n_removed, gone, left, l_rank, l_key = own(df, "lines", "chunks", "text_key", "n_lines", "n_removed", "gone", "left", "l_rank", "l_key")
     cut = Spare()
     rank = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
     slim = df.select(F.col(id_col).alias("id"), rank.alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
@@ -70,10 +70,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lost = repeated.join(first, ["hash", "chunk"]).filter(place != F.col("owner"))
     last = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost")
     cut.drop_but(last)
-    lost = last.select(F.col("rank").alias("l_rank"), F.col("key").alias("l_key"), F.col("ks").alias(gone))
+    lost = last.select(F.col("rank").alias(l_rank), F.col("key").alias(l_key), F.col("ks").alias(gone))
 
     named = df.withColumn(key, F.xxhash64(text_col))
-    joined = named.join(lost, (rank == F.col("l_rank")) & (F.col(key) == F.col("l_key")), "left")
+    joined = named.join(lost, (rank == F.col(l_rank)) & (F.col(key) == F.col(l_key)), "left")
     parts = chunked(joined, text_col, lines, chunks)
     kept = F.filter(F.transform(F.col(chunks), lambda c, k: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.array_contains(F.col(gone), k).alias("out"))), lambda c: ~c["out"])
     parts = _held(parts, left, kept)

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import own
 from .webp import decode, encode_grey
 from .words import texts
 
@@ -126,9 +127,10 @@ def read_pixels(df: DataFrame, id_col: str = "doc_id", media_col: str = "media")
 
 def payload_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """``df`` without the media, plus digests and a feature of what is decoded from them (null where nothing can be):
-    ``payload_sha256``, ``tail_crc32`` (of the last 32 bytes), ``media_bytes``, ``media_sha256``, ``feature``."""
+    ``payload_sha256``, ``tail_crc32`` (of the last 32 bytes), ``media_bytes``, ``media_sha256``, ``feature`` (clashing names get a leading _)."""
     sha = lambda x: hashlib.sha256(x).hexdigest()
     others = [c for c in df.columns if c != media_col]
+    new = own(df, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +145,7 @@ def payload_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "me
                     payload = grey.tobytes()
                     rows.append((sha(payload), zlib.crc32(payload[-32:]), len(m), sha(m), feature(grey.reshape(-1, images[0][0]))))
                 found = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(others))), *found], [*others, "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(others))), *found], [*others, *new])
 
     schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in others)
-    return df.select(*(F.col(f"`{c}`") for c in others), F.col(media_col)).mapInArrow(run, f"{schema}, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return df.select(*(F.col(f"`{c}`") for c in others), F.col(media_col)).mapInArrow(run, ", ".join([schema, *(f"`{c}` {t}" for c, t in zip(new, ("string", "long", "long", "string", "string"), strict=True))]))

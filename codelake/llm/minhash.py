@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import Spare, partitions
+from .shared import Spare, own, partitions
 from .words import U, hashes, mix, shingles, spans, texts
 
 SKETCH = 64
@@ -253,5 +253,6 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group of near duplicates. Rows with a null id stay; rows that share an id share its fate."""
-    gone = near_duplicates(df, id_col, text_col, shingle, percent).filter("not kept").select(F.col(id_col).alias("gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    gone, = own(df, "gone")
+    lost = near_duplicates(df, id_col, text_col, shingle, percent).filter("not kept").select(F.col(id_col).alias(gone)).distinct()
+    return df.join(lost, F.col(id_col) == F.col(gone), "left_anti")

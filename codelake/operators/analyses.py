@@ -124,9 +124,9 @@ def hotspot(symbols: DataFrame, measured: DataFrame, churn: DataFrame, threshold
     return rows.select(*finding("hotspot", "info", message, "certain", place()))
 
 
-def import_cycles(symbols: DataFrame, edges: DataFrame) -> DataFrame:
+def import_cycles(symbols: DataFrame, edges: DataFrame, classes_as_files: bool = False) -> DataFrame:
     """Circular imports between files, packages counting as one node, shown by their first files."""
-    found = cycles(name_import_graph(symbols, edges)).withColumn("id", F.array_join("cycle", "\x00"))
+    found = cycles(name_import_graph(symbols, edges, classes_as_files)).withColumn("id", F.array_join("cycle", "\x00"))
     spans = file_spans(symbols, "fqn")
     nodes = found.select("id", F.posexplode("cycle").alias("at", "node")).join(spans, "node", "left").withColumn("shown", F.coalesce("span.file", "node"))
     rows = nodes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "shown", "span"))).alias("nodes"))  # a cycle's own nodes

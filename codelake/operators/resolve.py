@@ -66,10 +66,17 @@ def file_import_graph(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     return found.select(F.col("file").alias("src"), F.col("exporter").alias("dst")).filter("src <> dst").distinct()
 
 
-def name_import_graph(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(src, dst) full names: a file's own full name and the exported key it imports."""
+def name_import_graph(symbols: DataFrame, edges: DataFrame, classes_as_files: bool = False) -> DataFrame:
+    """(src, dst) full names: a file's own full name and the exported key it imports.
+
+    A class that is imported by its name (Java) is no file's full name and so ends every path. ``classes_as_files`` puts
+    the full name of its file in its place, which lets such files form cycles.
+    """
     files = symbols.filter("kind = 'file'").select("file", F.col("local_id").alias("from_id"), F.col("fqn").alias("src"))
     found = imports(symbols, edges).join(files, ["file", "from_id"]).join(exports(symbols).select("key"), "key", "left_semi")
+    if classes_as_files:
+        owner = exports(symbols).select("key", F.col("exporter").alias("file")).join(symbols.filter("kind = 'file'").select("file", F.col("fqn").alias("dst")), "file")
+        return found.join(owner.select("key", "dst"), "key").select("src", "dst").filter("src <> dst").distinct()
     return found.select("src", F.col("key").alias("dst")).filter("src <> dst").distinct()
 
 

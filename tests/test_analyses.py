@@ -140,6 +140,13 @@ def test_packages_count_as_one_node(spark):
     assert said(analyses.import_cycles(s, e)) == [("warning", "circular dependency: a/1.go -> b/1.go")]
 
 
+def test_classes_can_stand_for_their_files(spark):
+    s = symbols(spark, [(f"{n}.java", i, k, m, q) for n, other in (("A", "B"), ("B", "A")) for i, k, m, q in ((0, "file", f"{n}.java", f"{n}.java"), (1, "class", n, f"p.{n}"), (2, "dependency", f"p.{other}", f"p.{other}"))])
+    e = edges(spark, *((f, 0, f, 2, "imports", "certain") for f in ("A.java", "B.java")))
+    assert analyses.import_cycles(s, e).count() == 0
+    assert said(analyses.import_cycles(s, e, classes_as_files=True)) == [("warning", "circular dependency: A.java -> B.java")]
+
+
 def test_boundaries(spark):
     s, e = imports(spark, ("app/models/u", "app/controllers/c"), ("app/controllers/c", "app/models/u"))
     own = Boundaries(None, {"m": ["app/models/**"], "c": ["app/controllers/**"]}, [("m", "c")])

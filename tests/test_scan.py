@@ -173,6 +173,42 @@ def test_exit_codes(spark, tmp_path, capsys):
     assert cli.main(["check", root, "--fail-on", "error", "--format", "json"]) == 0
 
 
+def test_telemetry_over_http(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = {}
+
+    class Sink(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen[self.path] = (json.loads(self.rfile.read(int(self.headers["Content-Length"]))), self.headers["X-Key"])
+            self.send_response(200)
+            self.end_headers()
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Sink)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    done = scan(spark, tree(tmp_path, {"a.rb": "def lost; end\n", "b.go": "package b\n"}))
+    assert metrics.emit(done, f"http://127.0.0.1:{server.server_port}/", "svc", {"commit": "c", "branch": None}, metrics.headers(spark, "X-Key=1"))
+    server.shutdown()
+    body, key = seen["/v1/metrics"]
+    resource = body["resourceMetrics"][0]
+    assert key == "1" and {"key": "service.name", "value": {"stringValue": "svc"}} in resource["resource"]["attributes"]
+    gauges = {m["name"]: m["gauge"]["dataPoints"] for m in resource["scopeMetrics"][0]["metrics"]}
+    assert gauges["codelake.findings"][0]["asDouble"] == 1 and {"key": "language", "value": {"stringValue": "ruby"}} in gauges["codelake.findings"][0]["attributes"]
+    record = seen["/v1/logs"][0]["resourceLogs"][0]["scopeLogs"][0]["logRecords"][0]
+    assert {"key": "findings.severity.warning", "value": {"intValue": "1"}} in record["attributes"] and {"key": "languages", "value": {"stringValue": "go,ruby"}} in record["attributes"]
+
+
+def test_service_names(monkeypatch):
+    monkeypatch.delenv("OTEL_SERVICE_NAME", raising=False)
+    assert metrics.service_name("flag", "/x/dir", "repo") == "flag" and metrics.service_name(None, "/x/dir", "repo") == "repo" and metrics.service_name(None, "/x/dir", None) == "dir"
+    monkeypatch.setenv("OTEL_SERVICE_NAME", "env")
+    assert metrics.service_name(None, "/x/dir", "repo") == "env"
+
+
 def test_tool_server():
     ask = [{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {"protocolVersion": "v"}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
            {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "analyze", "arguments": {"path": "p", "rule": "cycle"}}}, {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "no"}},

@@ -93,12 +93,17 @@ def parse(file: str, src: str) -> Parsed:
         out.depend(module_key("/".join(joined(file, t.text))), t.start, t.end, t.line)
     calls = [
         (code.t[i].start, code.text(i)) for i in range(len(code) - 1)
-        if code.word(i) and code.text(i + 1) == "(" and i not in names and (code.text(i) not in KEYWORDS or code.text(i) in SOFT or code.text(i - 1) in (".", "?.")) and not code.text(i).startswith("#") and not _new(code, i)
+        if code.word(i) and code.text(i + 1) == "(" and i not in names and not _arrow(code, i) and (code.text(i) not in KEYWORDS or code.text(i) in SOFT or code.text(i - 1) in (".", "?.")) and not code.text(i).startswith("#") and not _new(code, i)
     ]
     out.link(calls)
     return out
 
 
+def _arrow(code: Code, i: int) -> bool:
+    """Whether this is the ``async`` of an arrow function."""
+    return code.text(i) == "async" and code.text(i - 1) not in (".", "?.") and code.text(code.skip(i + 1)) in ("=>", ":")
+
+
 def _new(code: Code, i: int) -> bool:
     while code.text(i - 1) == "." and code.word(i - 2):
         i -= 2

@@ -18,6 +18,8 @@ from ..report import scan_stats, union
 from ..sources.git import churn
 from ..sources.repo import read_repo
 
+BATCH_TOKENS = 100_000
+"""Tokens after which parsed files go on from a worker."""
 PARSED = pa.schema([
     ("file", pa.string()), ("lang", pa.string()), ("error", pa.string()),
     ("symbols", pa.list_(pa.struct([("local_id", pa.int32()), ("kind", pa.string()), ("name", pa.string()), ("fqn", pa.string()), ("start_byte", pa.int64()), ("end_byte", pa.int64()), ("start_line", pa.int32())]))),
@@ -38,6 +40,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a file; a file that is no UTF-8 or breaks its parser has an error and no rows."""
     named = lambda kind, rows: [dict(zip(kind, r, strict=True)) for r in rows]
     keys = {f.name: [c.name for c in f.type.value_type] for f in PARSED if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)}
+    done, size = [], 0
     for batch in batches:
         for file, lang, data in zip(*(batch.column(c) for c in ("file", "lang", "content")), strict=True):
             row = {"file": file.as_py(), "lang": lang.as_py(), "error": None, "symbols": [], "edges": [], "entrypoints": [], "complexity": [], "unresolved": [], "tokens": []}
@@ -46,7 +49,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row |= {"entrypoints": p.entrypoints} | {c: named(k, getattr(p, c)) for c, k in keys.items()}
             except Exception as e:  # noqa: BLE001  one bad file must not end a scan; it is reported
                 row["error"] = f"{type(e).__name__}: {e}"
-            yield pa.RecordBatch.from_pylist([row], schema=PARSED)
+            done.append(row)
+            size += len(row["tokens"]) + 1
+            if size > BATCH_TOKENS:
+                yield pa.RecordBatch.from_pylist(done, schema=PARSED)
+                done, size = [], 0
+    yield pa.RecordBatch.from_pylist(done, schema=PARSED)
 
 
 @dataclass

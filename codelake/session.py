@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,4 +25,7 @@ def get_spark(app: str = "codelake", cpus: int | None = None, **conf: str) -> Sp
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    env, here = spark.sparkContext.environment, str(Path(__file__).resolve().parents[1])
+    if here not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))  # for Python workers, wherever this was started
     return spark

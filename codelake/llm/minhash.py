@@ -198,13 +198,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ends = cut(ends.groupBy("leader", "len", "mark_1", "mark_2").agg(F.min("value").alias("value")).select("value", "leader", "len"), "ends")  # one of the lists with the same members
     members = cut(lists.join(ends, "value"), "members")
 
-    near = members.select("id").distinct()
-    chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(near, "id", "left_semi").dropDuplicates(["id"])
+    near = members.select("id").distinct()  # texts and sets meet by merge joins at every size: the sides that could be broadcast grow with the corpus
+    chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(near.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     whole = cut(chosen.mapInArrow(lambda it: _whole(it, shingle), "id long, whole binary"), "wholes")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         side = lambda c: whole.select(F.col("id").alias(c), F.col("whole").alias(f"whole_{c}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "whole_a", "whole_b")
+        both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "whole_a", "whole_b")
         return cut(both.mapInArrow(lambda it: _confirm(it, percent, SKETCH), "a long, b long"), "links")
 
     def grouped(links: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -15,15 +15,22 @@ from .words import U, hashes, mix, shingles, spans, texts
 
 SKETCH = 64
 """Values of a sketch."""
-SHARED = 0.5625
-"""Share of a sketch's values that a candidate's must hold. A pair at Jaccard 0.8 shares Binomial(64, 0.8) values of the
-union's sketch, 51 of 64 on average; fewer than 36 has a probability of 4e-6. Sets within the sketch are exact."""
+SPREAD = 4.75
+"""Standard deviations below its expectation at which a pair's share of common sketch values no longer makes it a candidate."""
 BLOCK = 256
 """Members of an inverted list on each side of a block; longer lists are compared block by block."""
 LEADERS = tuple(int(x) for x in np.random.default_rng(11).integers(0, 1 << 62, 6))
 """Masks for the second round: a list's members meet the one whose id, under each mask, is smallest."""
 
 
+def shared_part(percent: int, k: int = SKETCH) -> float:
+    """Share of a sketch's values that a candidate's must hold. A pair at Jaccard p shares Binomial(k, p) values of the
+    union's sketch: at 0.8 and 64 values 51 on average, and fewer than 36 with a probability of 4e-6. Sets within the
+    sketch are exact."""
+    p = percent / 100
+    return max(0.0, p - SPREAD * (p * (1 - p) / k) ** 0.5)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch], shingle: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, buf, offs in texts(batch.column(1)):
@@ -53,19 +60,19 @@ def _whole(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), blobs], ["id", "whole"])
 
 
-def _estimate(x: np.ndarray, y: np.ndarray, k: int) -> bool:
+def _estimate(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
     """Whether enough of the union's sketch lies in both sets; sets within the sketch are left to the exact test."""
     if max(len(x), len(y)) <= k:
         return True
     merged = np.sort(np.concatenate([x[:k], y[:k]]))
     twice = merged[1:] == merged[:-1]
     union = np.concatenate([merged[:1], merged[1:][~twice]])[:k]
-    return np.count_nonzero(twice & (merged[1:] <= union[-1])) >= SHARED * len(union) - 1e-9
+    return np.count_nonzero(twice & (merged[1:] <= union[-1])) >= shared_part(percent, k) * len(union) - 1e-9
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
     """Size bound, union-sketch estimate, then exact Jaccard of two whole sets, sorted as unsigned."""
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not _estimate(x, y, k):
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)) or not _estimate(x, y, percent, k):
         return False
     common = np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x)
     return 100 * common >= percent * (len(x) + len(y) - common)
@@ -101,7 +108,7 @@ def _block(rows: pa.Table, percent: int, k: int) -> pa.RecordBatch:
         held = np.zeros((len(ids), len(common[lo : lo + 4096])), np.float32)
         held[owner[has], column[at][has]] = 1
         shared += held @ held.T
-    ok = (shared >= SHARED * np.maximum(size[:, None], size[None, :]) - 1e-6) & (comp[:, None] != comp[None, :])
+    ok = (shared >= shared_part(percent, k) * np.maximum(size[:, None], size[None, :]) - 1e-6) & (comp[:, None] != comp[None, :])
     ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
     ok &= (side[:, None] < side[None, :]) if (side == 0).any() else (ids[:, None] < ids[None, :])
     key = rows.column("key")[0].as_py()
@@ -169,9 +176,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     most of a text is such. A list's members are first compared with its smallest id, then, where they are still in
     different components, with a few others; in the lists that still hold several components all members outside the
     largest one are compared with all others, block by block, list by list or over all connected lists at once, whichever
-    sends fewer rows. So no link between components is lost, and a large group of
-    near copies costs a multiple of its size, not its square.
-    Rows that share an id should share a text. A null id names no component: such a row is kept, with its text's component
+    sends fewer rows. So no link between components is lost, and a large group of near copies costs a multiple of its
+    size, not its square. Rows that share an id should share a text. A null id names no component: such a row is kept, with its text's component
     if a row with an id has the same set.
     """
     spark, cut = df.sparkSession, Spare()
@@ -182,7 +188,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = cut(reps, "reps")
 
     size = F.size("sketch")
-    need = F.ceil(size * F.lit(SHARED))
+    need = F.greatest(F.ceil(size * F.lit(shared_part(percent) - 1e-9)), F.lit(1))
     values = reps.select("id", "n", size.alias("m"), (size - need + 1).alias("width"), F.explode("sketch").alias("value"))
     frequent = cut(values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequent")
     shared = values.join(frequent, "value")

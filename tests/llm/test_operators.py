@@ -175,6 +175,14 @@ def test_near_duplicates(spark, monkeypatch, block, leaders):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got) and len(got) == len(rows)
 
 
+def test_near_duplicates_at_another_similarity(spark):
+    rng = random.Random(5)
+    base = " ".join(f"v{rng.randrange(3000)}" for _ in range(90))
+    rows = list(enumerate(copies(rng, 50, base, 14) + [" ".join(f"v{rng.randrange(3000)}" for _ in range(40)) for _ in range(20)]))
+    got = minhash.near_duplicates(docs(spark, [(i, t, None, None) for i, t in rows]), shingle=3, percent=60).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near_groups(rows, 3, 60)
+
+
 def test_near_duplicates_odd_rows(spark, odd, none):
     got = minhash.near_duplicates(odd, shingle=4).collect()
     by = {r.doc_id: r for r in got}

@@ -12,7 +12,6 @@ if not os.path.isdir(DATA):
 
 import corpus_pipeline  # noqa: E402
 from codelake.llm import queries  # noqa: E402
-from codelake.llm.line_dedup import LINE  # noqa: E402, F401
 
 COLUMNS = {
     "op1_sharding": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Boundaries
-from .functions.globs import glob_to_regex
 from .functions.text import TOKEN, header_map, remote_parts, token_norm
 from .operators import analyses, graph, resolve
 from .report import diagnostics, gates, metrics, rules_first_seen, scan_stats, totals, union

@@ -17,7 +17,7 @@ LOCAL_EDGES = 200_000
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows (src, dst, strong), a root being a row without dst -> (node, strong)."""
-    rows = pd.concat(list(batches), ignore_index=True)
+    rows = pd.concat([pd.DataFrame(columns=["src", "dst", "strong"]), *(b for b in batches if len(b))], ignore_index=True)
     step: dict[str, list[tuple[str, bool]]] = defaultdict(list)
     seen: dict[str, bool] = {}
     work = []

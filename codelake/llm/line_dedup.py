@@ -12,6 +12,8 @@ LINE = r"[^.\n]*[.\n]+ ?|[^.\n]+"
 RUN = 8
 """Lines after which a run of equal lines is cut, as its hashes have no smallest."""
 PRIME = 2147483647
+SENTENCE = r"(?<=[.!?…] |[\n。！？؟۔।])(?![\n ])"
+"""Between sentences and lines, in more scripts than Latin; a stop inside a word ends nothing."""
 
 
 def _lines(text: Column) -> Column:
@@ -86,8 +88,54 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return out
 
 
+def _units(text: Column) -> Column:
+    """The text in sentences and lines. Units join to the text; null gives none."""
+    sentences = F.filter(F.split(text, SENTENCE), lambda x: x != "")
+    return F.coalesce(sentences, F.array().cast("array<string>"))
+
+
+def _windows(units: Column) -> Column:
+    """(k, hash) of each two adjacent units, k the first's place."""
+    same = F.transform(units, lambda u: F.regexp_replace(u, r"\s+\z", ""))
+    digest = lambda x: F.unhex(F.md5(x.cast("binary")))
+    pairs = F.transform(F.arrays_zip(same.alias("a"), F.slice(same, 2, F.greatest(F.size(units), F.lit(1))).alias("b")), lambda x, k: F.struct(k.alias("k"), F.when(x["b"].isNotNull(), digest(F.concat_ws("\n", x["a"], x["b"]))).alias("hash")))
+    return F.filter(pairs, lambda x: x["hash"].isNotNull())
+
+
+def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, the text without its repeated runs, plus ``n_lines`` and ``n_removed`` (clashing names get a leading _).
+
+    Lines here are units: sentences and lines. Wherever two adjacent units stand in an earlier place (smaller id, then further ahead), they go: a
+    repeated run of two or more units goes whole, whatever stands around it, and each unit stays where it stands first.
+    Units are equal by 128 bits of a hash, white space at their end aside. Nulls, empty texts, null ids and rows that
+    share id and text are as in ``dedup_lines``.
+    """
+    units, key, n_lines, n_removed, gone, left, l_rank, l_key = own(df, "units", "text_key", "n_lines", "n_removed", "gone", "left", "l_rank", "l_key")
+    cut = Spare()
+    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
+    slim = df.select(rank.alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
+    found = _held(slim, "units", _units(F.col("text"))).select("rank", "key", F.explode(_windows(F.col("units"))).alias("w")).select("rank", "key", "w.k", "w.hash")
+    place = (F.col("rank") * F.lit(2**32).cast("decimal(10,0)") + F.when(F.col("k") < 0, -1 - F.col("k").cast("long")).otherwise(F.col("k").cast("long")).cast("decimal(10,0)")).cast("decimal(32,0)")
+    first = cut(found.groupBy("hash").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "owner"), "first")
+    lost = found.join(first, "hash").filter(place != F.col("owner"))
+    last = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost")
+    cut.drop_but(last)
+    lost = last.select(F.col("rank").alias(l_rank), F.col("key").alias(l_key), F.col("ks").alias(gone))
+
+    joined = df.withColumn(key, F.xxhash64(text_col)).join(lost, (rank == F.col(l_rank)) & (F.col(key) == F.col(l_key)), "left")
+    parts = _held(joined, units, _units(F.col(text_col)))
+    out = F.flatten(F.transform(gone, lambda k: F.when(k < 0, F.array(-1 - k)).otherwise(F.array(k, k + 1))))
+    every = F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>"))
+    parts = _held(parts, left, F.when(F.col(gone).isNull(), every).otherwise(F.array_except(every, out)))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(units), i)), ""))
+    return parts.select(
+        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns),
+        F.size(units).alias(n_lines), (F.size(units) - F.size(left)).alias(n_removed),
+    )
+
+
 def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with repeated chunks removed from the text; rows of which nothing is left go."""
+    """The rows of ``df`` with repeated runs removed from the text (``dedup_runs``); rows of which nothing is left go."""
     n_lines, n_removed = own(df, "n_lines", "n_removed")
-    done = dedup_lines(df, id_col, text_col)
+    done = dedup_runs(df, id_col, text_col)
     return done.filter((F.col(n_lines) == 0) | (F.col(n_removed) < F.col(n_lines))).select(*(F.col(f"`{c}`") for c in df.columns))

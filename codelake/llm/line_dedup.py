@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,12 @@ RUN = 8
 PRIME = 2147483647
 SENTENCE = r"(?<=[.!?…] |[\n。！？؟۔।])(?![\n ])"
 """Between sentences and lines, in more scripts than Latin; a stop inside a word ends nothing."""
+LONG = 200
+"""Characters beyond which such a unit is cut at words."""
+WORD = r"(?<=[^\p{L}\p{M}\p{N}])(?=[\p{L}\p{N}])|(?<=\p{N})(?=\p{L})|(?<=[\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=\p{L})"
+"""Between words, and between the letters of scripts that set no blanks."""
+NEAR = 3
+"""A cut follows a word whose hash is the least among so many words on either side: pieces have more words than that."""
 
 
 def _lines(text: Column) -> Column:
@@ -89,23 +98,38 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def _units(text: Column) -> Column:
-    """The text in sentences and lines. Units join to the text; null gives none."""
+    """The text in sentences and lines, the over-long ones in pieces of words. Units join to the text; null gives none."""
+    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computed once, not in each lambda that reads it
+    none = F.array().cast("array<int>")
+
+    def pieces(words: Column, hashes: Column) -> Column:
+        n = F.size(words)
+        at = lambda i: F.get(hashes, i)
+        least = lambda i: reduce(and_, [c for d in range(1, NEAR + 1) for c in (at(i) < at(i - d), at(i) <= at(i + d))])
+        inner = F.when(n > 2 * NEAR, F.filter(F.sequence(F.lit(NEAR), n - 1 - NEAR), least)).otherwise(none)
+        return bound(F.concat(inner, F.array(n - 1)), lambda ends: F.transform(ends, lambda e, k: (
+            bound(F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1)), lambda before: F.array_join(F.slice(words, before + 2, e - before), ""))
+        )))
+
+    cut_up = lambda u: bound(F.split(u, WORD), lambda ws: bound(F.transform(ws, lambda w: F.xxhash64(F.rtrim(w))), lambda hs: pieces(ws, hs)))
     sentences = F.filter(F.split(text, SENTENCE), lambda x: x != "")
-    return F.coalesce(sentences, F.array().cast("array<string>"))
+    return F.coalesce(F.flatten(F.transform(sentences, lambda u: F.when(F.length(u) > LONG, cut_up(u)).otherwise(F.array(u)))), F.array().cast("array<string>"))
 
 
 def _windows(units: Column) -> Column:
-    """(k, hash) of each two adjacent units, k the first's place."""
+    """(k, hash) of each two adjacent units, k the first's place, and of each unit that stayed over-long, k its place negative and less 1."""
     same = F.transform(units, lambda u: F.regexp_replace(u, r"\s+\z", ""))
     digest = lambda x: F.unhex(F.md5(x.cast("binary")))
     pairs = F.transform(F.arrays_zip(same.alias("a"), F.slice(same, 2, F.greatest(F.size(units), F.lit(1))).alias("b")), lambda x, k: F.struct(k.alias("k"), F.when(x["b"].isNotNull(), digest(F.concat_ws("\n", x["a"], x["b"]))).alias("hash")))
-    return F.filter(pairs, lambda x: x["hash"].isNotNull())
+    alone = F.transform(units, lambda u, k: F.struct((-1 - k).alias("k"), F.when(F.length(u) > LONG, digest(F.regexp_replace(u, r"\s+\z", ""))).alias("hash")))
+    return F.filter(F.concat(pairs, alone), lambda x: x["hash"].isNotNull())
 
 
 def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``df``, the text without its repeated runs, plus ``n_lines`` and ``n_removed`` (clashing names get a leading _).
 
-    Lines here are units: sentences and lines. Wherever two adjacent units stand in an earlier place (smaller id, then further ahead), they go: a
+    Lines here are units: sentences, lines, and pieces of over-long ones. Wherever two adjacent units, or one that no word
+    boundary could cut below LONG characters, stand in an earlier place (smaller id, then further ahead), they go: a
     repeated run of two or more units goes whole, whatever stands around it, and each unit stays where it stands first.
     Units are equal by 128 bits of a hash, white space at their end aside. Nulls, empty texts, null ids and rows that
     share id and text are as in ``dedup_lines``.

@@ -76,6 +76,7 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", **plan) -> DataFrame:
     Documents without words have no cost and stay once.
     """
     n, mix_id = own(df, "mix_copies", "mix_id")
-    plan_rows = mixing_plan(df, id_col, **plan).groupBy(F.col(id_col).alias(mix_id)).agg(F.max("copies").alias(n)).filter(F.col(n) > 0)
-    joined = df.join(plan_rows, F.col(id_col).eqNullSafe(F.col(mix_id)))
-    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    plan_rows = mixing_plan(df, id_col, **plan).filter("size > 0").groupBy(F.col(id_col).alias(mix_id)).agg(F.max("copies").alias(n)).filter(F.col(n) > 0)
+    words = F.coalesce(F.regexp_count(F.col(plan.get("text_col", "text")), F.lit(WORD)), F.lit(0))
+    joined = df.join(plan_rows, F.col(id_col).eqNullSafe(F.col(mix_id)), "left").withColumn(n, F.when(words == 0, 1).otherwise(F.coalesce(n, F.lit(0))).cast("int")).filter(F.col(n) > 0)
+    return joined.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -148,7 +148,10 @@ def phrases(model: Automata, syms: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 
 def fit(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
-    """Automata of the labelled texts that are not held out; each language gives up to FIT_CHARS symbols of FIT_ROWS rows."""
+    """Automata of the labelled texts that are not held out; each language gives up to FIT_CHARS symbols of FIT_ROWS rows.
+
+    A row's piece begins at a place drawn from its id's hash, anywhere in the text.
+    """
     known = documents.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out)
     counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, FIT_ROWS / r.n)))) if counts else None
@@ -156,7 +159,8 @@ def fit(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col
     if counts:
         scale = 1 << 30
         lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(scale))
-        drawn = known.filter(lot < share[F.col(lang_col)] * scale).select(F.col(lang_col).alias("lang"), lot.alias("lot"), F.substring(text_col, 1, 2 * FIT_DOC_CHARS).alias("text"))
+        place = F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.length(text_col) - 2 * FIT_DOC_CHARS, F.lit(0)) + 1).cast("int") + 1
+        drawn = known.filter(lot < share[F.col(lang_col)] * scale).select(F.col(lang_col).alias("lang"), lot.alias("lot"), F.substring(F.col(text_col), place, F.lit(2 * FIT_DOC_CHARS)).alias("text"))
         parts: dict[str, list[bytes]] = {}
         for r in sorted(drawn.distinct().collect(), key=lambda r: (r.lang, r.lot, r.text)):  # at most languages x FIT_ROWS short texts
             for _, _, buf, offs in texts(pa.array([r.text])):

@@ -1,32 +1,34 @@
-"""Repeated runs of lines, cut at content-defined boundaries and removed beyond their first place. DataFrame functions only."""
+"""Repeated runs of lines, found by rolling hashes over line hashes, confirmed by their bytes. DataFrame functions only."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Spare, own
 
-LINE = r"[^.\n]*[.\n]+ ?|[^.\n]+"
-"""A line ends with a line break or a full stop (and a blank after it): prose on one long line has lines too. Lines join to the text."""
-RUN = 8
-"""Lines after which a run of equal lines is cut, as its hashes have no smallest."""
-PRIME = 2147483647
-SENTENCE = r"(?<=[.!?…] |[\n。！？؟۔।])(?![\n ])"
-"""Between sentences and lines, in more scripts than Latin; a stop inside a word ends nothing."""
+LINE = r"(?s)[^\n.!?\x{600}-\x{10FFFF}]*.*?(?:\n|[.!?…] |[。！？؟۔।]|\z)[ \n]*"
+"""A line ends with a line break, a full stop of any script, or one of . ! ? … and a blank; lines join to the text. The first
+class only runs ahead to where an end can be."""
 LONG = 200
-"""Characters beyond which such a unit is cut at words."""
-WORD = r"(?<=[^\p{L}\p{M}\p{N}])(?=[\p{L}\p{N}])|(?<=\p{N})(?=\p{L})|(?<=[\p{IsIdeographic}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}])(?=\p{L})"
-"""Between words, and between the letters of scripts that set no blanks."""
-NEAR = 3
-"""A cut follows a word whose hash is the least among so many words on either side: pieces have more words than that."""
+"""Characters beyond which a line is cut at words."""
+MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+WORD = rf"[0-9A-Za-z\x{{80}}-\x{{DFF}}]+{MARKS}*|[\x{{E00}}-\x{{10FFFF}}]{MARKS}*|{MARKS}+"
+"""From U+0E00 on each letter is a word: many of those scripts set no blanks."""
+CUT = "\uffff"
+"""Stands between pieces while a line is cut. It is no character of any text; a line that holds it stays whole."""
+WHITE = " \t\n\x0b\f\r"
 
 
-def _lines(text: Column) -> Column:
-    return F.coalesce(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), F.array().cast("array<string>"))
+def _digest(*values: Column) -> Column:
+    return F.xxhash64(*values)
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, not in each lambda that reads it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -34,132 +36,121 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def chunked(df: DataFrame, text_col: str, lines: str, chunks: str) -> DataFrame:
-    """``df`` plus the array of lines and the array of chunks (first, last: places of lines, from 0).
+def _pieces(line: Column) -> Column:
+    """An over-long line cut after each word whose hash is low while those of the three before it are not: places that
+    depend on four words and not on where the line begins. A piece has four words or more, but for the last."""
 
-    A rolling hash over each line's hash and the one before it ranks the places. A chunk ends where this hash is smaller
-    than both neighbours', so boundaries depend on four lines and not on the place in the text, and a chunk has two lines
-    at least unless the text has one.
-    """
-    hashed, rolling, stops = own(df, "line_hashes", "line_rolling", "line_stops")
-    out = _held(df, lines, _lines(F.col(text_col)))
-    out = _held(out, hashed, F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 7), 16, 10).cast("long")))
-    places = lambda lo, hi: F.when(F.lit(lo) <= hi, F.sequence(F.lit(lo), hi)).otherwise(F.array().cast("array<int>"))
-    last = F.size(lines) - 1
-    out = _held(out, rolling, F.transform(F.col(hashed), lambda x, i: (F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(hashed), i - 1)) * 1000003 + x) % PRIME))
-    at = lambda i: F.get(F.col(rolling), i)
-    least = lambda i: (at(i) < at(i - 1)) & (at(i) < at(i + 1)) | (at(i) == at(i - 1)) & (at(i) == at(i + 1)) & (i % RUN == 0)
-    ends = F.concat(F.filter(places(1, last - 2), least), F.when(last >= 0, F.array(last)).otherwise(F.array().cast("array<int>")))
-    out = _held(out, stops, ends)
-    found = F.transform(F.col(stops), lambda x, k: F.struct(F.when(k == 0, F.lit(0)).otherwise(F.get(F.col(stops), k - 1) + 1).alias("first"), x.alias("last")))
-    return _held(out, chunks, found).drop(hashed, rolling, stops)
+    def cut(words: Column, low: Column) -> Column:
+        ends = lambda i: (i >= 3) & F.get(low, i) & ~F.get(low, i - 1) & ~F.get(low, i - 2) & ~F.get(low, i - 3)
+        marked = F.transform(words, lambda w, i: F.when(ends(i), F.concat(w, F.lit(CUT))).otherwise(w))
+        return F.filter(F.split(F.array_join(marked, ""), CUT), lambda p: p != "")
 
+    low = lambda words: F.transform(words, lambda w: F.md5(F.rtrim(w).cast("binary")) < "4")
+    return _bound(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda words: _bound(low(words), lambda at: cut(words, at)))
 
-def _text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["last"] - chunk["first"] + 1), "")
 
+def lines_of(text: Column) -> Column:
+    """The lines of a text, over-long ones in pieces; they join to the text. Null gives null."""
+    cut = lambda x: F.when((F.length(x) > LONG) & ~F.contains(x, F.lit(CUT)), _pieces(x)).otherwise(F.array(x))
+    return F.flatten(F.transform(F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: x != ""), cut))
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``df``, the text without its repeated chunks, plus ``n_lines`` and ``n_removed`` (clashing names get a leading _).
 
-    Of chunks of two or more lines that are equal byte for byte, anywhere in the corpus, the one in the document of the
-    smallest id, and there the first, stays. Chunks meet by a 64-bit hash of which more than one exists, and then by
-    their bytes. Null texts stay null and empty ones empty, with 0 lines. Rows with a null id keep a chunk only where no
-    row with an id has it. Rows that share id and text are one document: they keep or lose a chunk alike.
-    """
-    lines, chunks, key, n_lines, n_removed, gone, left, l_rank, l_key = own(df, "lines", "chunks", "text_key", "n_lines", "n_removed", "gone", "left", "l_rank", "l_key")
-    cut = Spare()
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
-    slim = df.select(F.col(id_col).alias("id"), rank.alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = chunked(slim, "text", "lines", "chunks").select("rank", "key", "lines", F.posexplode("chunks").alias("k", "chunk")).filter("chunk.last > chunk.first")
-    found = found.select("rank", "key", "k", _text(F.col("lines"), F.col("chunk")).alias("chunk"))
-    found = found.withColumn("hash", F.xxhash64("chunk"))
-    often = cut(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"), "often")
-    repeated = cut(found.join(often, "hash"), "repeated")
-    place = (F.col("rank") * F.lit(2**31).cast("decimal(10,0)") + F.col("k").cast("decimal(10,0)")).cast("decimal(32,0)")
-    first = cut(repeated.groupBy("hash", "chunk").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
-    lost = repeated.join(first, ["hash", "chunk"]).filter(place != F.col("owner"))
-    last = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost")
-    cut.drop_but(last)
-    lost = last.select(F.col("rank").alias(l_rank), F.col("key").alias(l_key), F.col("ks").alias(gone))
-
-    named = df.withColumn(key, F.xxhash64(text_col))
-    joined = named.join(lost, (rank == F.col(l_rank)) & (F.col(key) == F.col(l_key)), "left")
-    parts = chunked(joined, text_col, lines, chunks)
-    kept = F.filter(F.transform(F.col(chunks), lambda c, k: F.struct(c["first"].alias("first"), c["last"].alias("last"), F.array_contains(F.col(gone), k).alias("out"))), lambda c: ~c["out"])
-    parts = _held(parts, left, kept)
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda c: _text(F.col(lines), c)), ""))
-    size = F.aggregate(left, F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
-    out = parts.select(
-        *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns),
-        F.size(lines).alias(n_lines), F.when(F.col(gone).isNull(), 0).otherwise(F.size(lines) - size).alias(n_removed),
-    )
-    return out
+def _bare(line: Column) -> Column:
+    return F.rtrim(line, F.lit(WHITE))
+
 
+def rolled(df: DataFrame, lines: str) -> DataFrame:
+    """Explodes to a row (hash, k, again) for each window: a hash rolled over the hashes of lines k and k + 1, and one of
+    each line that is still over-long alone, with k its place negative and less 1. ``again``: the document had it before."""
+    hashed, windows = own(df, "line_hashes", "windows")
+    out = _held(df, hashed, F.transform(lines, lambda x: _digest(_bare(x))))
+    last = F.size(hashed) - 1
+    pairs = F.transform(F.col(hashed), lambda x, i: F.when(i < last, F.struct(_digest(x, F.get(F.col(hashed), i + 1)).alias("hash"), i.alias("k"))))
+    alone = F.transform(F.col(lines), lambda x, i: F.when(F.length(x) > LONG, F.struct(_digest(F.get(F.col(hashed), i)).alias("hash"), (-1 - i).alias("k"))))
+    out = _held(out, windows, F.sort_array(F.filter(F.concat(pairs, alone), lambda x: x.isNotNull())))
+    again = lambda x, i: (i > 0) & (F.get(F.col(windows), i - 1)["hash"] == x["hash"])
+    found = F.transform(F.col(windows), lambda x, i: F.struct(x["hash"].alias("hash"), x["k"].alias("k"), F.coalesce(again(x, i), F.lit(False)).alias("again")))
+    rest = [F.col(f"`{c}`") for c in df.columns if c != lines]
+    return out.select(*rest, F.explode(found).alias(windows)).select(*rest, F.col(f"{windows}.hash"), F.col(f"{windows}.k"), F.col(f"{windows}.again"))
 
-def _units(text: Column) -> Column:
-    """The text in sentences and lines, the over-long ones in pieces of words. Units join to the text; null gives none."""
-    bound = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  computed once, not in each lambda that reads it
-    none = F.array().cast("array<int>")
 
-    def pieces(words: Column, hashes: Column) -> Column:
-        n = F.size(words)
-        at = lambda i: F.get(hashes, i)
-        least = lambda i: reduce(and_, [c for d in range(1, NEAR + 1) for c in (at(i) < at(i - d), at(i) <= at(i + d))])
-        inner = F.when(n > 2 * NEAR, F.filter(F.sequence(F.lit(NEAR), n - 1 - NEAR), least)).otherwise(none)
-        return bound(F.concat(inner, F.array(n - 1)), lambda ends: F.transform(ends, lambda e, k: (
-            bound(F.when(k == 0, F.lit(-1)).otherwise(F.get(ends, k - 1)), lambda before: F.array_join(F.slice(words, before + 2, e - before), ""))
-        )))
+def _places(windows: Column) -> Column:
+    """Places of the lines in an array of windows."""
+    return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.when(w["k"] < 0, F.array(-1 - w["k"])).otherwise(F.array(w["k"], w["k"] + 1)))))
 
-    cut_up = lambda u: bound(F.split(u, WORD), lambda ws: bound(F.transform(ws, lambda w: F.xxhash64(F.rtrim(w))), lambda hs: pieces(ws, hs)))
-    sentences = F.filter(F.split(text, SENTENCE), lambda x: x != "")
-    return F.coalesce(F.flatten(F.transform(sentences, lambda u: F.when(F.length(u) > LONG, cut_up(u)).otherwise(F.array(u)))), F.array().cast("array<string>"))
 
+def _clashes(marked: DataFrame, lines: str, marks: str) -> DataFrame:
+    """(hash) of line hashes that stand for different bytes and of window hashes that stand for different line hashes."""
+    line = lambda i: F.get(F.col(lines), i)
+    parts = lambda k: F.when(k < 0, F.array(-1 - k)).otherwise(F.array(k, k + 1))
+    hashes = lambda k: F.transform(parts(k), lambda i: _digest(_bare(line(i))))
+    texts = F.transform(_places(F.col(marks)), lambda i: F.struct(_digest(_bare(line(i))).alias("hash"), _bare(line(i)).alias("bytes")))
+    pairs = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), F.array_join(hashes(w["k"]).cast("array<string>"), " ").alias("bytes")))
+    return marked.select(F.explode(F.concat(texts, pairs)).alias("x")).groupBy("x.hash", "x.bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
 
-def _windows(units: Column) -> Column:
-    """(k, hash) of each two adjacent units, k the first's place, and of each unit that stayed over-long, k its place negative and less 1."""
-    same = F.transform(units, lambda u: F.regexp_replace(u, r"\s+\z", ""))
-    digest = lambda x: F.unhex(F.md5(x.cast("binary")))
-    pairs = F.transform(F.arrays_zip(same.alias("a"), F.slice(same, 2, F.greatest(F.size(units), F.lit(1))).alias("b")), lambda x, k: F.struct(k.alias("k"), F.when(x["b"].isNotNull(), digest(F.concat_ws("\n", x["a"], x["b"]))).alias("hash")))
-    alone = F.transform(units, lambda u, k: F.struct((-1 - k).alias("k"), F.when(F.length(u) > LONG, digest(F.regexp_replace(u, r"\s+\z", ""))).alias("hash")))
-    return F.filter(F.concat(pairs, alone), lambda x: x["hash"].isNotNull())
 
+def _spared(marked: DataFrame, lines: str, marks: str, rank: str, key: str, clashes: DataFrame) -> DataFrame:
+    """(rank, key, spared): windows that only a clash of hashes called repeated. The windows of clashing hashes are grouped by their bytes."""
+    line = lambda i: F.get(F.col(lines), i)
+    two = lambda w, f: F.struct(f(F.when(w["k"] < 0, -1 - w["k"]).otherwise(w["k"])).alias("a"), F.when(w["k"] >= 0, f(w["k"] + 1)).alias("b"))
+    full = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), w["lost"].alias("lost"), two(w, lambda i: _digest(_bare(line(i)))).alias("h"), two(w, lambda i: _bare(line(i))).alias("t")))
+    rows = marked.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(full).alias("w")).select("rank", "key", "w.hash", "w.k", "w.lost", F.col("w.h.a").alias("ha"), F.col("w.h.b").alias("hb"), "w.t")
+    for c in ("hash", "ha", "hb"):
+        rows = rows.join(clashes.select(F.col("hash").alias(f"{c}_c")).distinct().withColumn(f"{c}_bad", F.lit(True)), F.col(c) == F.col(f"{c}_c"), "left")
+    rows = rows.filter("hash_bad or ha_bad or hb_bad").select("rank", "key", "k", "lost", "t")
+    first = rows.groupBy("t").agg(F.min("rank").alias("first")).withColumnRenamed("t", "t_f")
+    here = rows.groupBy("t", "rank", "key").agg(F.min(F.abs("k")).alias("at")).select(F.col("t").alias("t_h"), F.col("rank").alias("rank_h"), F.col("key").alias("key_h"), "at")
+    known = rows.join(first, F.col("t") == F.col("t_f")).join(here, (F.col("t") == F.col("t_h")) & (F.col("rank") == F.col("rank_h")) & (F.col("key") == F.col("key_h")))
+    return known.filter("lost and rank = first and abs(k) = at").groupBy("rank", "key").agg(F.collect_set("k").alias("spared"))
 
-def dedup_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``df``, the text without its repeated runs, plus ``n_lines`` and ``n_removed`` (clashing names get a leading _).
 
-    Lines here are units: sentences, lines, and pieces of over-long ones. Wherever two adjacent units, or one that no word
-    boundary could cut below LONG characters, stand in an earlier place (smaller id, then further ahead), they go: a
-    repeated run of two or more units goes whole, whatever stands around it, and each unit stays where it stands first.
-    Units are equal by 128 bits of a hash, white space at their end aside. Nulls, empty texts, null ids and rows that
-    share id and text are as in ``dedup_lines``.
+    A hash is rolled over the line hashes two by two, and over each line that no word could cut below LONG characters.
+    Where a window stands in a row of smaller id, or further ahead in its own text, its lines go. So a chunk runs as
+    long as its windows are repeated ones: its boundaries follow from the content, whatever stands around it, and a
+    repeated run of two lines or more goes whole but where it stands first. Lines are equal byte for byte, white space
+    at their end aside: hashes only find them. Every line of a repeated window meets the others of its hash, and windows
+    whose hashes stand for more than one text are grouped again by their bytes.
+
+    Null texts stay null and empty ones empty, with 0 lines. A null id comes after all others. Rows of equal ids, or both
+    without, take nothing from each other; where they share the text too they are one document.
     """
-    units, key, n_lines, n_removed, gone, left, l_rank, l_key = own(df, "units", "text_key", "n_lines", "n_removed", "gone", "left", "l_rank", "l_key")
+    rank, key, lines, marks, spared, n_lines, n_removed = own(df, "line_rank", "text_key", "lines", "marks", "spared", "n_lines", "n_removed")
+    m_rank, m_key, s_rank, s_key, left = own(df, "m_rank", "m_key", "s_rank", "s_key", "left")
     cut = Spare()
-    rank = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)).cast("decimal(19,0)")
-    slim = df.select(rank.alias("rank"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    found = _held(slim, "units", _units(F.col("text"))).select("rank", "key", F.explode(_windows(F.col("units"))).alias("w")).select("rank", "key", "w.k", "w.hash")
-    place = (F.col("rank") * F.lit(2**32).cast("decimal(10,0)") + F.when(F.col("k") < 0, -1 - F.col("k").cast("long")).otherwise(F.col("k").cast("long")).cast("decimal(10,0)")).cast("decimal(32,0)")
-    first = cut(found.groupBy("hash").agg(F.min(place).alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "owner"), "first")
-    lost = found.join(first, "hash").filter(place != F.col("owner"))
-    last = cut(lost.groupBy("rank", "key").agg(F.collect_set("k").alias("ks")), "lost")
-    cut.drop_but(last)
-    lost = last.select(F.col("rank").alias(l_rank), F.col("key").alias(l_key), F.col("ks").alias(gone))
-
-    joined = df.withColumn(key, F.xxhash64(text_col)).join(lost, (rank == F.col(l_rank)) & (F.col(key) == F.col(l_key)), "left")
-    parts = _held(joined, units, _units(F.col(text_col)))
-    out = F.flatten(F.transform(gone, lambda k: F.when(k < 0, F.array(-1 - k)).otherwise(F.array(k, k + 1))))
-    every = F.when(F.size(units) > 0, F.sequence(F.lit(0), F.size(units) - 1)).otherwise(F.array().cast("array<int>"))
-    parts = _held(parts, left, F.when(F.col(gone).isNull(), every).otherwise(F.array_except(every, out)))
-    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(units), i)), ""))
-    return parts.select(
+    named = df.withColumns({rank: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), key: F.xxhash64(text_col)})
+    slim = named.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(F.array(lines_of(F.col(text_col)))).alias("lines"))
+    found = cut(rolled(slim, "lines"), "windows")
+    first = found.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    met = found.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size
+    window = F.struct("hash", "k", (F.col("again") | (F.col("rank") > F.col("first"))).alias("lost"))
+    marked = cut(met.groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key)).agg(F.collect_list(window).alias(marks)), "marks")  # a text's own windows
+    joined = named.hint("merge").join(marked.hint("merge"), (F.col(rank) == F.col(m_rank)) & (F.col(key) == F.col(m_key)), "left").drop(m_rank, m_key)
+    whole = cut(joined.withColumn(lines, lines_of(F.col(text_col))).drop(text_col), "lines")
+    known = whole.filter(F.col(marks).isNotNull())
+    clashes = cut(_clashes(known, lines, marks), "clashes")
+    if clashes.isEmpty():
+        whole = whole.withColumn(spared, F.lit(None).cast("array<int>"))
+    else:
+        rest = cut(_spared(known, lines, marks, rank, key, clashes), "spared").select(F.col("rank").alias(s_rank), F.col("key").alias(s_key), F.col("spared").alias(spared))
+        whole = whole.join(rest, (F.col(rank) == F.col(s_rank)) & (F.col(key) == F.col(s_key)), "left").drop(s_rank, s_key)
+    cut.drop_but(*cut.made[2:])
+    lost = F.filter(F.col(marks), lambda w: w["lost"] & ~F.coalesce(F.array_contains(F.col(spared), w["k"]), F.lit(False)))
+    every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
+    kept = _held(whole, left, F.when(F.col(marks).isNull(), every).otherwise(F.array_except(every, _places(lost))))
+    text = F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(lines), i)), "")
+    text = F.when(F.col(lines).isNull(), F.lit(None).cast("string")).when(F.col(marks).isNull(), F.array_join(lines, "")).otherwise(text)
+    size = F.coalesce(F.size(lines), F.lit(0))
+    return kept.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns),
-        F.size(units).alias(n_lines), (F.size(units) - F.size(left)).alias(n_removed),
+        F.greatest(size, F.lit(0)).alias(n_lines), F.when(F.col(marks).isNull(), F.lit(0)).otherwise(size - F.size(left)).alias(n_removed),
     )
 
 
 def without_repeated_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` with repeated runs removed from the text (``dedup_runs``); rows of which nothing is left go."""
+    """The rows of ``df`` with repeated runs removed from the text (``dedup_lines``); rows of which nothing is left go."""
     n_lines, n_removed = own(df, "n_lines", "n_removed")
-    done = dedup_runs(df, id_col, text_col)
+    done = dedup_lines(df, id_col, text_col)
     return done.filter((F.col(n_lines) == 0) | (F.col(n_removed) < F.col(n_lines))).select(*(F.col(f"`{c}`") for c in df.columns))

@@ -1,55 +1,13 @@
-"""Lineage cuts in the cluster's shared folder, and reading the input tables."""
+"""Lineage cuts of the corpus operators in the cluster's shared folder, and reading the input tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's own setting, else (tests only) a temporary one."""
-    at = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY, None)
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="codelake-shared-")
-        spark.conf.set(KEY, at)
-    return at.rstrip("/")
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder of the shared store; missing ones are fine."""
-    fs, where = _fs(spark, path)
-    fs.delete(where, True)
+from ..lineage import delete, scratch, shared_dir
+from ..sources.tables import read_table as table
 
-
-_left: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _left:
-        try:
-            if spark.sparkContext._jsc is not None:
-                delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed at interpreter exit."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _left.append((spark, path))
-    return path
+__all__ = ["Spare", "cut", "delete", "drop", "own", "partitions", "scratch", "shared_dir", "table", "table_fs"]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -83,10 +41,6 @@ class Spare:
                 drop(df)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def table_fs(path: str):
     """Arrow's view of a folder of the shared store, for Python on any machine: (file system, path in it)."""
     from pyarrow import fs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .line_dedup import LINE, LONG, WORD
+
 WORDS = r"'[^\x20\x09-\x0D]+'"
 
 OP1 = r"""
@@ -40,15 +42,18 @@ g as (select *, coalesce((cast(pass * source_size + before as double) + size / 2
 m as (select *, sum(size) over (order by finish, rank, pass, r rows unbounded preceding) as upto, sum(size) filter (pass = 0) over () as total from g)
 select any_value(doc_id) as doc_id, any_value(size) as size, cast(any_value(source_size) as bigint) as source_size, any_value(target) as target, cast(count(*) filter (upto <= total) * any_value(size) as bigint) as taken from m group by rank, r"""
 
-OP9 = r"""
-with l as (select doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '[^.\n]*[.\n]+ ?|[^.\n]+'), lambda x: x <> '') as ls from documents),
-h as (select *, list_transform(ls, lambda x: cast('0x' || substr(md5(x), 1, 7) as bigint)) as hs from l),
-r as (select *, list_transform(range(1, len(hs) + 1), lambda i: (case when i = 1 then 0 else hs[i - 1] end * 1000003 + hs[i]) % 2147483647) as rs from h),
-e as (select *, list_concat(list_filter(range(1, greatest(len(ls) - 2, 1)), lambda i: (rs[i + 1] < rs[i] and rs[i + 1] < rs[i + 2]) or (rs[i + 1] = rs[i] and rs[i + 1] = rs[i + 2] and i % 8 = 0)), case when len(ls) > 0 then [len(ls) - 1] else [] end) as es from r),
-c as (select doc_id, k, case when k = 0 then 0 else es[k] + 1 end as first, es[k + 1] as last, array_to_string(ls[case when k = 0 then 1 else es[k] + 2 end : es[k + 1] + 1], '') as chunk from (select *, unnest(range(len(es))) as k from e)),
-o as (select *, row_number() over (partition by chunk, last > first order by doc_id, k) as nth from c),
-kept as (select doc_id, string_agg(chunk, '' order by k) filter (last = first or nth = 1) as text, cast(coalesce(sum(last - first + 1) filter (last > first and nth > 1), 0) as bigint) as n_removed from o group by doc_id)
-select l.doc_id, cast(len(ls) as bigint) as n_lines, coalesce(n_removed, 0) as n_removed, case when coalesce(n_removed, 0) = 0 then l.text else coalesce(kept.text, '') end as text from l left join kept using (doc_id)"""
+OP9 = rf"""
+with l as (select row_number() over () as n, doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '{LINE}'), lambda x: x <> '') as ls from documents),
+u as (select n, doc_id, text, flatten(list_transform(ls, lambda x: case when length(x) <= {LONG} or contains(x, chr(65535)) then [x] else
+  list_transform([regexp_extract_all(x, '{WORD}')], lambda ws: list_transform([list_transform(ws, lambda w: md5(rtrim(w, ' ')) < '4')], lambda low:
+    list_filter(string_split(array_to_string(list_transform(ws, lambda w, i: case when i > 3 and low[i] and not low[i - 1] and not low[i - 2] and not low[i - 3] then w || chr(65535) else w end), ''), chr(65535)), lambda p: p <> ''))[1])[1] end)) as us from l),
+b as (select n, coalesce(doc_id, 9223372036854775807) as rank, us, list_transform(us, lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as bare from u),
+w as (select n, rank, unnest(list_concat(list_transform(range(1, greatest(len(us), 1)), lambda i: {{'k': i, 'to': i + 1, 'a': bare[i], 'b': bare[i + 1]}}), list_transform(list_filter(range(1, len(us) + 1), lambda i: length(us[i]) > {LONG}), lambda i: {{'k': i, 'to': i, 'a': bare[i], 'b': cast(null as varchar)}}))) as w from b),
+o as (select n, w.k as k, w.to as upto, rank > min(rank) over (partition by w.a, w.b) or w.k > min(w.k) over (partition by n, w.a, w.b) as lost from w),
+gone as (select distinct n, unnest([k, upto]) as k from o where lost),
+x as (select n, unnest(range(1, len(us) + 1)) as k, unnest(us) as line from u),
+kept as (select x.n, coalesce(string_agg(line, '' order by x.k) filter (gone.k is null), '') as text, count(gone.k) as n_removed from x left join gone on gone.n = x.n and gone.k = x.k group by x.n)
+select doc_id, cast(len(us) as bigint) as n_lines, coalesce(n_removed, 0) as n_removed, case when u.text is null then null else coalesce(kept.text, '') end as text from u left join kept using (n)"""
 
 OP10 = f"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {WORDS}) as ws from documents),

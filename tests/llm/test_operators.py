@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codelake.llm import embed_dedup, language, minhash, toxicity
-from codelake.llm.line_dedup import LINE, dedup_lines, without_repeated_lines
+from codelake.llm import embed_dedup, language, line_dedup, minhash, toxicity
+from codelake.llm.line_dedup import CUT, LONG, dedup_lines, without_repeated_lines
 from codelake.llm.media import payload_features, read_pixels, store_payloads
 from codelake.llm.mixing import mix_sources, mixing_plan
 from codelake.llm.prefix import prefix_sums
@@ -279,34 +279,79 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.identify(odd, language.fit(none, F.lit(False))).collect()} == {"und"}
 
 
-def chunks_of(text):
-    lines = re.findall(LINE, text or "")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    roll = [((h[i - 1] if i else 0) * 1000003 + x) % 2147483647 for i, x in enumerate(h)]
-    ends = [i for i in range(1, len(lines) - 2) if roll[i] < min(roll[i - 1], roll[i + 1]) or roll[i] == roll[i - 1] == roll[i + 1] and i % 8 == 0]
-    ends += [len(lines) - 1] if lines else []
-    return ["".join(lines[a:b]) for a, b in zip([0, *(e + 1 for e in ends)], [e + 1 for e in ends], strict=False)], [b - a for a, b in zip([0, *(e + 1 for e in ends)], [e + 1 for e in ends], strict=False)]
+def lines_of(text):
+    """The lines by a loop over characters, over-long ones cut at words."""
+    lines, at, end = [], 0, len(text)
+    while at < end:
+        k = at
+        while k < end and not (text[k] in "\n。！？؟۔।" or text[k] in ".!?…" and text[k + 1 : k + 2] == " "):
+            k += 1
+        k = min(k + (2 if k < end and text[k] in ".!?…" else 1), end)
+        while k < end and text[k] in " \n":
+            k += 1
+        lines.append(text[at:k])
+        at = k
+    wide = lambda c: ord(c) >= 0xE00
+    mark = lambda c: ord(c) < 128 and not c.isalnum()
+    out = []
+    for line in lines:
+        if len(line) <= LONG or CUT in line:
+            out.append(line)
+            continue
+        words, k = [], 0
+        while k < len(line):
+            j = k + 1
+            if not mark(line[k]) and not wide(line[k]):
+                while j < len(line) and not mark(line[j]) and not wide(line[j]):
+                    j += 1
+            while j < len(line) and mark(line[j]):
+                j += 1
+            words.append(line[k:j])
+            k = j
+        low = [hashlib.md5(w.rstrip(" ").encode()).hexdigest() < "4" for w in words]
+        ends = [i for i in range(3, len(words)) if low[i] and not any(low[i - 3 : i])]
+        cuts = [0, *(e + 1 for e in ends), len(words)]
+        out += [p for p in ("".join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)) if p]
+    return out
+
+
+def windows_of(text):
+    """(place, lines) of each two adjacent lines and of each over-long one."""
+    lines = lines_of(text)
+    bare = [x.rstrip(" \t\n\x0b\f\r") for x in lines]
+    return lines, [((i, i + 1), (bare[i], bare[i + 1])) for i in range(len(lines) - 1)] + [((i,), (bare[i],)) for i, x in enumerate(lines) if len(x) > LONG]
 
 
-def test_line_dedup(spark, odd, none):
+def without_runs(rows):
+    """Brute force: {id: (text, lines, removed)} of rows with distinct ids."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        lines, windows = windows_of(text or "")
+        gone = set()
+        for at, key in windows:
+            if first.setdefault(key, (i, at)) != (i, at):
+                gone |= set(at)
+        out[i] = (None if text is None else "".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
+    return out
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_line_dedup(spark, odd, none, monkeypatch, weak):
+    """With ``weak`` hashes clash all the time: only the bytes decide."""
+    if weak:
+        monkeypatch.setattr(line_dedup, "_digest", lambda *v: F.pmod(F.xxhash64(*v), F.lit(150)))
     rng = random.Random(12)
-    line = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 9))) + rng.choice((".\n", "\n", ". "))
-    shared = ["".join(line() for _ in range(12)) for _ in range(4)]
-    rows = [(i, "".join(rng.choice((line(), line(), rng.choice(shared))) for _ in range(rng.randrange(0, 12))), None, None) for i in range(120)]
-    rows += [(500, "spam.\n" * 50, None, None), (501, rows[3][1], None, None)]
-    table = docs(spark, rows)
-    got = {r.doc_id: r for r in dedup_lines(table).collect()}
-    first, removed = {}, 0
-    for i, t, _, _ in sorted(rows):
-        text, sizes = chunks_of(t)
-        kept = []
-        for k, (c, n) in enumerate(zip(text, sizes, strict=True)):
-            if n < 2 or first.setdefault(c, (i, k)) == (i, k):
-                kept.append(c)
-        assert got[i].text == "".join(kept) and got[i].n_lines == sum(sizes)
-        removed += len(text) - len(kept)
-    assert removed > 20 and got[501].text == "" and 0 < len(got[500].text) < 120
-    clash = ["n_lines", "lines", "chunks", "l_rank", "l_key", "text_key"]
+    line = lambda: " ".join(f"w{rng.randrange(500)}" for _ in range(rng.randrange(1, 9))) + rng.choice((".\n", "\n", ". ", "! ", "。"))
+    shared = ["".join(line() for _ in range(n)) for n in (2, 3, 5, 12)] + [" ".join(f"v{rng.randrange(900)}" for _ in range(90)), "z" * 300]
+    rows = [(i, "".join(rng.choice((line(), line(), rng.choice(shared))) for _ in range(rng.randrange(0, 12)))) for i in range(120)]
+    rows += [(500, "spam.\n" * 50), (501, rows[3][1]), (502, "中文" * 200 + "\n\n" + CUT + "x" * 300), (503, "  \n" + CUT + "x" * 300), (504, "\n. ."), (505, "a | b " * 60)]
+    table = docs(spark, [(i, t, None, None) for i, t in rows])
+    want = without_runs(rows)
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in dedup_lines(table).collect()}
+    assert got == want and sum(n for *_, n in want.values()) > 200 and want[501][0] == ""
+    if weak:
+        return
+    clash = ["n_lines", "lines", "marks", "line_rank", "m_rank", "text_key", "left", "spared"]
     left = without_repeated_lines(table.withColumns({c: F.lit("mine") for c in clash}))
     assert left.columns == [*table.columns, *clash] and 501 not in {r.doc_id for r in left.collect()}
     by = {r.doc_id: r for r in dedup_lines(odd).collect()}

@@ -2,11 +2,11 @@
 
 import random
 
-from codelake.llm.line_dedup import dedup_runs, without_repeated_lines
+from codelake.llm.line_dedup import dedup_lines, without_repeated_lines
 
 
 def texts(spark, rows):
-    return {r.doc_id: r for r in dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
 def test_short_runs_between_other_neighbours(spark):

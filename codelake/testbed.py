@@ -11,6 +11,7 @@ from .config import Boundaries
 from .functions.text import TOKEN, header_map, remote_parts, token_norm
 from .operators import analyses, graph, resolve
 from .report import diagnostics, gates, metrics, rules_first_seen, scan_stats, totals, union
+from .sources.tables import read_table
 
 K = 8
 CX, FLOOR, SCORE = 6, 5, 300
@@ -23,7 +24,7 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return read_table(self.spark, self.dir, name)
 
 
 def _symbols(df: DataFrame, file, local_id, kind: str, name, fqn) -> DataFrame:

@@ -15,15 +15,15 @@ from .words import texts
 FIT_CHARS = 32_000
 """Symbols of labelled text in each language's automaton."""
 FIT_TOTAL = 256_000
-"""Symbols of all automata together: with more than 8 languages each gets an equal part."""
+"""Symbols of all automata together, so that their tables fit in a worker: with more than 8 languages each gets an equal part."""
 FIT_ROWS = 400
-"""Labelled documents of each language that this text is drawn from, by smallest hash of the id."""
-FIT_DOC_CHARS = 400
-"""Symbols one training document adds at most, so that no one document makes a language."""
-MOST_LANGUAGES = 200
-"""A stated bound of the model: languages by number of labelled documents."""
+"""Labelled documents of each language that this text is drawn from, by smallest hash of the id. Each gives an equal piece."""
+PIECE = 80
+"""Symbols such a piece has at least, where the documents are long enough: with many languages fewer documents are drawn."""
 LANES = 65_536
 """Parses that advance together."""
+BLOCK = 4096
+"""Symbols parsed at a stretch: a longer text is the sum of its blocks, so that no text takes more steps than that."""
 
 
 def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,19 +115,23 @@ def build(references: dict[str, bytes]) -> Automata:
 def phrases(model: Automata, syms: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Number of phrases of each text (rows) in each language (columns): each phrase is the longest match from its start on.
 
-    All (text, language) parses advance one symbol a step. Where the automaton has no transition the phrase ends and the
-    symbol starts the next one; a symbol the language never holds is a phrase of its own.
+    All (block, language) parses advance one symbol a step. Where the automaton has no transition the phrase ends and the
+    symbol starts the next one; a symbol the language never holds is a phrase of its own, and a block ends a phrase.
     """
     n, m = len(offs) - 1, len(model.names)
     out = np.zeros((n, m), np.int64)
     cls = model.classes[syms]
-    order = np.argsort(offs[:-1] - offs[1:], kind="stable")  # longest first: those still running are a prefix
+    blocks = np.maximum(-(-np.diff(offs) // BLOCK), 1)
+    text = np.repeat(np.arange(n), blocks)
+    starts = offs[text] + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+    size = np.minimum(offs[text + 1] - starts, BLOCK)
+    order = np.argsort(-size, kind="stable")  # longest first: those still running are a prefix
     group = max(1, LANES // max(m, 1))
-    for g in range(0, n, group):
+    for g in range(0, len(order), group):
         rows = order[g : g + group]
-        length = offs[rows + 1] - offs[rows]
+        length = size[rows]
         lens = np.repeat(length, m)
-        at = np.repeat(offs[rows], m)
+        at = np.repeat(starts[rows], m)
         root = np.tile(model.roots, len(rows))
         state, count = root.copy(), np.zeros(len(rows) * m, np.int64)
         running = np.searchsorted(-lens, -np.arange(1, (length[0] if len(length) else 0) + 1), "right")
@@ -143,31 +147,33 @@ def phrases(model: Automata, syms: np.ndarray, offs: np.ndarray) -> np.ndarray:
                 count[lost[none]] += 1
                 to[lost] = np.where(none, here, again)
             state[:live] = to
-        out[rows] = (count + (state != root)).reshape(len(rows), m)
+        np.add.at(out, text[rows], (count + (state != root)).reshape(len(rows), m))
     return out
 
 
-def fit(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Automata:
-    """Automata of the labelled texts that are not held out; each language gives up to FIT_CHARS symbols of FIT_ROWS rows.
+def fit(documents: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, chars: int = FIT_CHARS, total: int = FIT_TOTAL) -> Automata:
+    """Automata of the labelled texts that are not held out, one for every label.
 
-    A row's piece begins at a place drawn from its id's hash, anywhere in the text.
+    A label gets ``chars`` symbols, or an equal part of ``total`` with many labels, from at most about ``rows`` documents
+    by hash of the id. Each gives a piece of the same size, from a place drawn from its id's hash, anywhere in the text.
     """
     known = documents.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out)
-    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r.lang, min(1.0, FIT_ROWS / r.n)))) if counts else None
-    references: dict[str, bytes] = {}
-    if counts:
-        scale = 1 << 30
-        lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(scale))
-        place = F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.length(text_col) - 2 * FIT_DOC_CHARS, F.lit(0)) + 1).cast("int") + 1
-        drawn = known.filter(lot < share[F.col(lang_col)] * scale).select(F.col(lang_col).alias("lang"), lot.alias("lot"), F.substring(F.col(text_col), place, F.lit(2 * FIT_DOC_CHARS)).alias("text"))
-        parts: dict[str, list[bytes]] = {}
-        for r in sorted(drawn.distinct().collect(), key=lambda r: (r.lang, r.lot, r.text)):  # at most languages x FIT_ROWS short texts
-            for _, _, buf, offs in texts(pa.array([r.text])):
-                parts.setdefault(r.lang, []).append(symbols(buf, offs)[0].tobytes()[:FIT_DOC_CHARS])
-        size = min(FIT_CHARS, FIT_TOTAL // len(parts)) if parts else 0
-        references = {k: b" ".join(v)[:size] for k, v in sorted(parts.items())}
-    return build(references)
+    counts = known.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # one row a label
+    if not counts:
+        return build({})
+    size = max(1, min(chars, total // len(counts)))
+    few = max(1, min(rows, size // PIECE))
+    plan = documents.sparkSession.createDataFrame([(r.lang, min(1.0, few / r.n), 2 * -(-size // min(few, r.n))) for r in counts], f"p_lang {documents.schema[lang_col].dataType.simpleString()}, part double, width int")
+    scale = 1 << 30
+    lot = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(scale))
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("place")), F.greatest(F.length(text_col) - F.col("width"), F.lit(0)) + 1).cast("int") + 1
+    drawn = known.select(F.col(id_col), F.col(lang_col), F.col(text_col)).join(F.broadcast(plan), F.col(lang_col) == F.col("p_lang"))  # one row a label
+    drawn = drawn.filter(lot < F.col("part") * scale).select("p_lang", lot.alias("lot"), F.substring(F.col(text_col), place, F.col("width")).alias("text"))
+    parts: dict[str, list[bytes]] = {}
+    for r in sorted(drawn.distinct().collect(), key=lambda r: (r.p_lang, r.lot, r.text)):  # about twice ``total`` characters
+        for _, _, buf, offs in texts(pa.array([r.text])):
+            parts.setdefault(r.p_lang, []).append(symbols(buf, offs)[0].tobytes())
+    return build({k: b" ".join(x[: -(-size // len(v))] for x in v)[:size] for k, v in sorted(parts.items())})
 
 
 def identify(df: DataFrame, model: Automata, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,21 +189,17 @@ def identify(df: DataFrame, model: Automata, id_col: str = "doc_id", text_col: s
         model = shared.value
         names = pa.array([*model.names, "und"])
         for batch in batches:
-            parts = [symbols(buf, offs) for _, _, buf, offs in texts(batch.column(1))]
-            if not parts:
-                continue
-            base = np.cumsum([0, *(len(p[0]) for p in parts)])
-            at = np.concatenate([[0], *(p[1][1:] + b for p, b in zip(parts, base, strict=False))])
-            letter = np.concatenate([p[2] for p in parts])
-            if len(model.names):
-                cost = phrases(model, np.concatenate([p[0] for p in parts]), at) * model.weight
-                best = cost.argmin(axis=1)
-                two = np.sort(cost, axis=1)
-                score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9) if len(model.names) > 1 else np.ones(len(letter))
-                best, score = np.where(letter, best, len(model.names)), np.where(letter, score, 0.0)
-            else:
-                best, score = np.zeros(len(letter), np.int64), np.zeros(len(letter))
-            yield pa.RecordBatch.from_arrays([batch.column(0), names.take(pa.array(best)), pa.array(score)], ["id", "lang_pred", "score"])
+            for lo, hi, buf, offs in texts(batch.column(1)):
+                syms, at, letter = symbols(buf, offs)
+                if len(model.names):
+                    cost = phrases(model, syms, at) * model.weight
+                    best = cost.argmin(axis=1)
+                    two = np.sort(cost, axis=1)
+                    score = 1 - two[:, 0] / np.maximum(two[:, 1], 1e-9) if len(model.names) > 1 else np.ones(len(letter))
+                    best, score = np.where(letter, best, len(model.names)), np.where(letter, score, 0.0)
+                else:
+                    best, score = np.zeros(len(letter), np.int64), np.zeros(len(letter))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), names.take(pa.array(best)), pa.array(score)], ["id", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,9 +14,17 @@ LINE = r"(?s)[^\n.!?\x{600}-\x{10FFFF}]*.*?(?:\n|[.!?…] |[。！？؟۔।]|\z
 class only runs ahead to where an end can be."""
 LONG = 200
 """Characters beyond which a line is cut at words."""
-MARKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-WORD = rf"[0-9A-Za-z\x{{80}}-\x{{DFF}}]+{MARKS}*|[\x{{E00}}-\x{{10FFFF}}]{MARKS}*|{MARKS}+"
-"""From U+0E00 on each letter is a word: many of those scripts set no blanks."""
+ALNUM = string.digits + string.ascii_letters
+LOW = "048dhlptxDHLPTX"
+"""About a quarter of words begin with one of these, or with a letter of the first part of its alphabet in other scripts. Single
+characters make a table of a pattern's class, ranges do not: hence no a-z."""
+OTHER = r"\x{3B1}-\x{3B6}\x{410}-\x{417}\x{430}-\x{437}\x{5D0}-\x{5D6}\x{627}-\x{62C}\x{915}-\x{91F}"
+REST = r"\x{80}-\x{3B0}\x{3B7}-\x{40F}\x{418}-\x{42F}\x{438}-\x{5CF}\x{5D7}-\x{626}\x{62D}-\x{914}\x{920}-\x{DFF}"
+WIDE = r"\x{E40}-\x{E4F}\x{3060}-\x{306F}\x{30C0}-\x{30CF}\x{5000}-\x{53FF}\x{6000}-\x{63FF}\x{7000}-\x{73FF}\x{8000}-\x{83FF}\x{9000}-\x{93FF}"
+"""The same of the letters from U+0E00 on: many of those scripts set no blanks, and each letter is a word."""
+MARK, LETTER = rf"[^{ALNUM}\x{{80}}-\x{{10FFFF}}]", rf"[{ALNUM}\x{{80}}-\x{{DFF}}]"
+PLACE = rf"{MARK}(?:[{''.join(c for c in ALNUM if c not in LOW)}{REST}]{LETTER}*{MARK}+){{3}}[{LOW}{OTHER}]{LETTER}*|[\x{{E00}}-\x{{10FFFF}}]{{3}}[{WIDE}]"
+"""A line is cut behind such a word that three others stand before: a place that depends on four words only."""
 CUT = "\uffff"
 """Stands between pieces while a line is cut. It is no character of any text; a line that holds it stays whole."""
 WHITE = " \t\n\x0b\f\r"
@@ -26,32 +34,15 @@ def _digest(*values: Column) -> Column:
     return F.xxhash64(*values)
 
 
-def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
-    """``f(value)`` with the value computed once, not in each lambda that reads it."""
-    return F.get(F.transform(F.array(value), f), F.lit(0))
-
-
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     """``df`` plus a column that is computed once a row: a plain projection would be folded into each lambda that reads it."""
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def _pieces(line: Column) -> Column:
-    """An over-long line cut after each word whose hash is low while those of the three before it are not: places that
-    depend on four words and not on where the line begins. A piece has four words or more, but for the last."""
-
-    def cut(words: Column, low: Column) -> Column:
-        ends = lambda i: (i >= 3) & F.get(low, i) & ~F.get(low, i - 1) & ~F.get(low, i - 2) & ~F.get(low, i - 3)
-        marked = F.transform(words, lambda w, i: F.when(ends(i), F.concat(w, F.lit(CUT))).otherwise(w))
-        return F.filter(F.split(F.array_join(marked, ""), CUT), lambda p: p != "")
-
-    low = lambda words: F.transform(words, lambda w: F.md5(F.rtrim(w).cast("binary")) < "4")
-    return _bound(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)), lambda words: _bound(low(words), lambda at: cut(words, at)))
-
-
 def lines_of(text: Column) -> Column:
     """The lines of a text, over-long ones in pieces; they join to the text. Null gives null."""
-    cut = lambda x: F.when((F.length(x) > LONG) & ~F.contains(x, F.lit(CUT)), _pieces(x)).otherwise(F.array(x))
+    pieces = lambda x: F.filter(F.split(F.regexp_replace(x, PLACE, f"$0{CUT}"), CUT), lambda p: p != "")
+    cut = lambda x: F.when((F.length(x) > LONG) & ~F.contains(x, F.lit(CUT)), pieces(x)).otherwise(F.array(x))
     return F.flatten(F.transform(F.filter(F.regexp_extract_all(text, F.lit(LINE), F.lit(0)), lambda x: x != ""), cut))
 
 
@@ -59,41 +50,49 @@ def _bare(line: Column) -> Column:
     return F.rtrim(line, F.lit(WHITE))
 
 
-def rolled(df: DataFrame, lines: str) -> DataFrame:
-    """Explodes to a row (hash, k, again) for each window: a hash rolled over the hashes of lines k and k + 1, and one of
-    each line that is still over-long alone, with k its place negative and less 1. ``again``: the document had it before."""
-    hashed, windows = own(df, "line_hashes", "windows")
+def _at(lines: str, i: Column) -> Column:
+    return _bare(F.get(F.col(lines), i))
+
+
+def _rolled(lines: str, k: Column) -> Column:
+    """Hash of the window k: over lines k and k + 1, or over line -1 - k alone."""
+    return F.when(k < 0, _digest(_digest(_at(lines, -1 - k)))).otherwise(_digest(_digest(_at(lines, k)), _digest(_at(lines, k + 1))))
+
+
+def windows(df: DataFrame, lines: str) -> DataFrame:
+    """``df`` without its lines, a row (hash, k) for each window: a hash rolled over the hashes of lines k and k + 1, and one
+    of each line that is still over-long alone, with k its place negative and less 1."""
+    hashed, n, at = own(df, "line_hashes", "n", "at")
     out = _held(df, hashed, F.transform(lines, lambda x: _digest(_bare(x))))
     last = F.size(hashed) - 1
-    pairs = F.transform(F.col(hashed), lambda x, i: F.when(i < last, F.struct(_digest(x, F.get(F.col(hashed), i + 1)).alias("hash"), i.alias("k"))))
-    alone = F.transform(F.col(lines), lambda x, i: F.when(F.length(x) > LONG, F.struct(_digest(F.get(F.col(hashed), i)).alias("hash"), (-1 - i).alias("k"))))
-    out = _held(out, windows, F.sort_array(F.filter(F.concat(pairs, alone), lambda x: x.isNotNull())))
-    again = lambda x, i: (i > 0) & (F.get(F.col(windows), i - 1)["hash"] == x["hash"])
-    found = F.transform(F.col(windows), lambda x, i: F.struct(x["hash"].alias("hash"), x["k"].alias("k"), F.coalesce(again(x, i), F.lit(False)).alias("again")))
+    pairs = F.transform(F.col(hashed), lambda x, i: F.when(i < last, _digest(x, F.get(F.col(hashed), i + 1))))
+    alone = F.transform(F.col(lines), lambda x, i: F.when(F.length(x) > LONG, _digest(F.get(F.col(hashed), i))))
     rest = [F.col(f"`{c}`") for c in df.columns if c != lines]
-    return out.select(*rest, F.explode(found).alias(windows)).select(*rest, F.col(f"{windows}.hash"), F.col(f"{windows}.k"), F.col(f"{windows}.again"))
+    out = out.select(*rest, F.size(hashed).alias(n), F.posexplode(F.concat(pairs, alone)).alias(at, "hash")).filter("hash is not null")
+    return out.select(*rest, "hash", F.when(F.col(at) < F.col(n), F.col(at)).otherwise(F.col(n) - 1 - F.col(at)).alias("k"))
 
 
-def _places(windows: Column) -> Column:
+def _places(found: Column) -> Column:
     """Places of the lines in an array of windows."""
-    return F.array_distinct(F.flatten(F.transform(windows, lambda w: F.when(w["k"] < 0, F.array(-1 - w["k"])).otherwise(F.array(w["k"], w["k"] + 1)))))
+    return F.array_distinct(F.flatten(F.transform(found, lambda w: F.when(w["k"] < 0, F.array(-1 - w["k"])).otherwise(F.array(w["k"], w["k"] + 1)))))
 
 
 def _clashes(marked: DataFrame, lines: str, marks: str) -> DataFrame:
-    """(hash) of line hashes that stand for different bytes and of window hashes that stand for different line hashes."""
-    line = lambda i: F.get(F.col(lines), i)
-    parts = lambda k: F.when(k < 0, F.array(-1 - k)).otherwise(F.array(k, k + 1))
-    hashes = lambda k: F.transform(parts(k), lambda i: _digest(_bare(line(i))))
-    texts = F.transform(_places(F.col(marks)), lambda i: F.struct(_digest(_bare(line(i))).alias("hash"), _bare(line(i)).alias("bytes")))
-    pairs = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), F.array_join(hashes(w["k"]).cast("array<string>"), " ").alias("bytes")))
-    return marked.select(F.explode(F.concat(texts, pairs)).alias("x")).groupBy("x.hash", "x.bytes").agg(F.count(F.lit(1)).alias("n")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    """(hash) of line hashes that stand for different bytes and of windows' that stand for different lines' hashes.
+
+    The hash of a window and of its first line settle the second line's, as the last step of the hash is one to one.
+    """
+    none = F.lit(None)
+    texts = F.transform(_places(F.col(marks)), lambda i: F.struct(_digest(_at(lines, i)).alias("hash"), none.cast("long").alias("head"), _at(lines, i).alias("bytes")))
+    heads = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), _digest(_at(lines, F.when(w["k"] < 0, -1 - w["k"]).otherwise(w["k"]))).alias("head"), none.cast("string").alias("bytes")))
+    rows = marked.select(F.explode(F.concat(texts, heads)).alias("x")).groupBy("x.hash", "x.head", "x.bytes").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
 
 
 def _spared(marked: DataFrame, lines: str, marks: str, rank: str, key: str, clashes: DataFrame) -> DataFrame:
     """(rank, key, spared): windows that only a clash of hashes called repeated. The windows of clashing hashes are grouped by their bytes."""
-    line = lambda i: F.get(F.col(lines), i)
-    two = lambda w, f: F.struct(f(F.when(w["k"] < 0, -1 - w["k"]).otherwise(w["k"])).alias("a"), F.when(w["k"] >= 0, f(w["k"] + 1)).alias("b"))
-    full = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), w["lost"].alias("lost"), two(w, lambda i: _digest(_bare(line(i)))).alias("h"), two(w, lambda i: _bare(line(i))).alias("t")))
+    two = lambda k, f: F.struct(f(F.when(k < 0, -1 - k).otherwise(k)).alias("a"), F.when(k >= 0, f(k + 1)).alias("b"))
+    full = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), w["lost"].alias("lost"), two(w["k"], lambda i: _digest(_at(lines, i))).alias("h"), two(w["k"], lambda i: _at(lines, i)).alias("t")))
     rows = marked.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(full).alias("w")).select("rank", "key", "w.hash", "w.k", "w.lost", F.col("w.h.a").alias("ha"), F.col("w.h.b").alias("hb"), "w.t")
     for c in ("hash", "ha", "hb"):
         rows = rows.join(clashes.select(F.col("hash").alias(f"{c}_c")).distinct().withColumn(f"{c}_bad", F.lit(True)), F.col(c) == F.col(f"{c}_c"), "left")
@@ -118,17 +117,24 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     without, take nothing from each other; where they share the text too they are one document.
     """
     rank, key, lines, marks, spared, n_lines, n_removed = own(df, "line_rank", "text_key", "lines", "marks", "spared", "n_lines", "n_removed")
-    m_rank, m_key, s_rank, s_key, left = own(df, "m_rank", "m_key", "s_rank", "s_key", "left")
+    m_rank, m_key, s_rank, s_key, left, codes, found = own(df, "m_rank", "m_key", "s_rank", "s_key", "left", "codes", "found")
     cut = Spare()
     named = df.withColumns({rank: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), key: F.xxhash64(text_col)})
     slim = named.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(F.array(lines_of(F.col(text_col)))).alias("lines"))
-    found = cut(rolled(slim, "lines"), "windows")
-    first = found.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
-    met = found.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size
-    window = F.struct("hash", "k", (F.col("again") | (F.col("rank") > F.col("first"))).alias("lost"))
-    marked = cut(met.groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key)).agg(F.collect_list(window).alias(marks)), "marks")  # a text's own windows
-    joined = named.hint("merge").join(marked.hint("merge"), (F.col(rank) == F.col(m_rank)) & (F.col(key) == F.col(m_key)), "left").drop(m_rank, m_key)
-    whole = cut(joined.withColumn(lines, lines_of(F.col(text_col))).drop(text_col), "lines")
+    every = cut(windows(slim, "lines"), "windows")
+    first = every.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
+    met = every.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size
+    code = F.col("k") * 2 + (F.col("rank") > F.col("first")).cast("int")
+    known = cut(met.groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key)).agg(F.collect_set(code).alias(codes)), "marks")  # a text's own windows
+    cut.drop_but(known)
+    joined = named.hint("merge").join(known.hint("merge"), (F.col(rank) == F.col(m_rank)) & (F.col(key) == F.col(m_key)), "left").drop(m_rank, m_key)
+    joined = _held(joined, lines, lines_of(F.col(text_col))).drop(text_col)
+    place = lambda c: F.floor(c / 2).cast("int")
+    ordered = F.sort_array(F.transform(F.col(codes), lambda c: F.struct(_rolled(lines, place(c)).alias("hash"), place(c).alias("k"), (F.pmod(c, F.lit(2)) == 1).alias("later"))))
+    again = lambda i: F.coalesce((i > 0) & (F.get(F.col(found), i - 1)["hash"] == F.get(F.col(found), i)["hash"]), F.lit(False))
+    lost = F.transform(F.col(found), lambda w, i: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), (w["later"] | again(i)).alias("lost")))
+    whole = cut(_held(joined, found, ordered).withColumn(marks, lost).drop(found, codes), "lines")
+    cut.drop_but(whole)
     known = whole.filter(F.col(marks).isNotNull())
     clashes = cut(_clashes(known, lines, marks), "clashes")
     if clashes.isEmpty():
@@ -136,7 +142,6 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     else:
         rest = cut(_spared(known, lines, marks, rank, key, clashes), "spared").select(F.col("rank").alias(s_rank), F.col("key").alias(s_key), F.col("spared").alias(spared))
         whole = whole.join(rest, (F.col(rank) == F.col(s_rank)) & (F.col(key) == F.col(s_key)), "left").drop(s_rank, s_key)
-    cut.drop_but(*cut.made[2:])
     lost = F.filter(F.col(marks), lambda w: w["lost"] & ~F.coalesce(F.array_contains(F.col(spared), w["k"]), F.lit(False)))
     every = F.when(F.size(lines) > 0, F.sequence(F.lit(0), F.size(lines) - 1)).otherwise(F.array().cast("array<int>"))
     kept = _held(whole, left, F.when(F.col(marks).isNull(), every).otherwise(F.array_except(every, _places(lost))))

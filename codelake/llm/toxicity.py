@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ LEAST_Z, LEAST_ODDS = 3.0, 2.5
 """A feature counts as toxic from this many standard errors and this log-odds on."""
 DROP = 0.5
 """Score lost on each other token."""
+BIN = 0.25
+"""Width of the bins in which segment scores of clean texts are counted."""
 
 
 @dataclass
@@ -33,6 +36,8 @@ class Model:
     scores: np.ndarray
     scale: float = 1.0
     """Karlin-Altschul's lambda: the chance that clean text reaches a segment score falls as exp(-scale * score)."""
+    chance: float = 1.0
+    """Karlin-Altschul's K: n clean tokens hold K * n * exp(-scale * score) segments of at least that score."""
     cut: float = 1.0
     """Evidence at which a document's score is 0.7."""
 
@@ -62,28 +67,33 @@ def _token_scores(model: Model, buf: np.ndarray, starts: np.ndarray, ends: np.nd
 
 
 def segments(places: list[int], scores: list[float]) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first place, last place, score) in linear time: other tokens cost DROP each."""
-    kept: list[tuple[float, float, int, int]] = []  # sum before, sum after, first, last
+    """All maximal scoring segments (first place, last place, score) in linear time: other tokens cost DROP each.
+
+    A candidate is its sums before and after, its places, and the nearest earlier candidate of a smaller sum before. A
+    search follows these links: what it skips can never be met again, so each candidate is skipped or merged once.
+    """
+    kept: list[tuple[float, float, int, int, int]] = []
     total, last = 0.0, -1
     for place, score in zip(places, scores, strict=True):
         total -= DROP * (place - last - 1)
         left, right, first = total, total + score, place
         total, last = right, place
         j = len(kept) - 1
-        while True:
-            while j >= 0 and kept[j][0] >= left:
-                j -= 1
-            if j < 0 or kept[j][1] >= right:
-                kept.append((left, right, first, place))
-                break
-            left, first = kept[j][0], kept[j][2]
+        while j >= 0 and kept[j][0] >= left:
+            j = kept[j][4]
+        while j >= 0 and kept[j][1] < right:
+            left, _, first, _, below = kept[j]
             del kept[j:]
-            j -= 1
-    return [(first, last, right - left) for left, right, first, last in kept]
+            j = below
+        kept.append((left, right, first, place, j))
+    return [(first, last, right - left) for left, right, first, last, _ in kept]
+
+
+Passages = dict[int, list[tuple[int, int, float]]]
 
 
-def _scan(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, dict[int, list[tuple[int, int, float]]]]]:
-    """(first row, end row, tokens of each text, hits' count by text, passages by text in bytes) of each slice."""
+def _scan(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray, tuple[np.ndarray, np.ndarray], Passages]]:
+    """(first row, end row, tokens of each text, scores of the hits and their offsets by text, passages by text in bytes) of each slice."""
     for lo, hi, buf, offs in texts(column):
         starts, ends, word_offs = spans(buf, offs, PUNCTUATION)
         places, scores = _token_scores(model, buf, starts, ends)
@@ -93,12 +103,27 @@ def _scan(column: pa.Array, model: Model) -> Iterator[tuple[int, int, np.ndarray
             own = slice(at[d], at[d + 1])
             found = segments((places[own] - word_offs[d]).tolist(), scores[own].tolist())
             passages[d] = [(int(starts[word_offs[d] + a] - offs[d]), int(ends[word_offs[d] + b] - offs[d]), s) for a, b, s in found]
-        yield lo, hi, np.diff(word_offs), np.diff(at), passages
+        yield lo, hi, np.diff(word_offs), (scores, at), passages
 
 
 def _evidence(model: Model, tokens: int, found: list[tuple[int, int, float]]) -> float:
     """Sum over passages of -ln of the expected number of chance passages as good in a clean text of this length."""
-    return sum(max(0.0, model.scale * s - math.log(max(tokens, 1))) for _, _, s in found)
+    return sum(max(0.0, model.scale * s - math.log(max(model.chance * tokens, 1.0))) for _, _, s in found)
+
+
+def _scale(scores: np.ndarray, counts: np.ndarray, tokens: float) -> float:
+    """Karlin-Altschul's lambda: the positive root of E[exp(lambda * score)] = 1 over clean tokens, of which ``counts`` have
+    ``scores`` and all others lose DROP. Where clean tokens gain on average no root exists; the scale is then 0."""
+    share = counts / tokens
+    rest = 1 - share.sum()
+    if (share * scores).sum() - rest * DROP >= 0:
+        return 0.0
+    over = lambda x: rest * math.exp(-DROP * x) + (share * np.exp(np.minimum(x * scores, 700.0))).sum() >= 1
+    low, high = 0.0, 50.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if over(mid) else (mid, high)
+    return low
 
 
 def training_rows(documents: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", label_col: str = "toxic", rows: int = FIT_ROWS) -> DataFrame:
@@ -134,22 +159,33 @@ def fit(rows: DataFrame) -> Model:
     best = scored.filter((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("z"), "key").limit(MODEL_SIZE).select("key", "odds").collect()
     model = Model(np.array([r.key for r in best], np.int64).view(np.uint64), np.array([r.odds for r in best]))
 
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(kind, score, n) of clean texts: kind 0 their tokens, 1 scores of hits, 2 scores of segments, in bins."""
+        for batch in batches:
+            clean = batch.filter(pc.equal(batch.column(1), 0))
+            for _, _, tokens, (scores, _), passages in _scan(clean.column(0), model):
+                best = np.round([s / BIN for found in passages.values() for _, _, s in found]) * BIN
+                for kind, values, weight in ((0, np.zeros(1), int(tokens.sum())), (1, scores, 1), (2, best, 1)):
+                    value, n = np.unique(values, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind)), pa.array(value), pa.array(n * weight)], ["kind", "score", "n"])
+
+    counts = rows.select("text", "toxic").mapInArrow(histogram, "kind long, score double, n long").groupBy("kind", "score").agg(F.sum("n").alias("n")).collect()  # scores of the model, and bins
+    of = lambda kind: np.array(sorted((r.score, r.n) for r in counts if r.kind == kind)).reshape(-1, 2)
+    tokens = float(of(0)[:, 1].sum()) + 1
+    hits = of(1) if len(of(1)) else np.array([[float(np.median(model.scores)) if len(model.scores) else 1.0, PRIOR]])
+    model.scale = _scale(hits[:, 0], hits[:, 1], tokens) or 1.0
+    best = of(2)
+    if len(best):  # the segments from the median score on, as a tail of slope lambda
+        upto = np.cumsum(best[:, 1])
+        least = best[np.searchsorted(upto, upto[-1] / 2), 0]
+        model.chance = float(best[best[:, 0] >= least, 1].sum() / tokens * math.exp(model.scale * least))
+
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, tokens, hits, passages in _scan(batch.column(0), model):
-                scores = [[s for _, _, s in passages.get(d, [])] for d in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(tokens), pa.array(hits), pa.array(scores, pa.list_(pa.float64()))], ["toxic", "tokens", "hits", "scores"])
-
-    docs = rows.select("text", "toxic").mapInArrow(seen, "toxic int, tokens long, hits long, scores array<double>").collect()  # at most FIT_ROWS
-    clean_tokens = sum(r.tokens for r in docs if not r.toxic)
-    rate = (sum(r.hits for r in docs if not r.toxic) + PRIOR) / (clean_tokens + 1)
-    typical = float(np.median(model.scores)) if len(model.scores) else 1.0
-    low, high = 0.0, 50.0
-    for _ in range(60):  # E[exp(lambda * score)] = 1 over clean tokens
-        mid = (low + high) / 2
-        low, high = (mid, high) if (1 - rate) * math.exp(-DROP * mid) + rate * math.exp(typical * mid) < 1 else (low, mid)
-    model.scale = low or 1.0
-    evidence = sorted(((_evidence(model, r.tokens, [(0, 0, s) for s in r.scores]), r.toxic) for r in docs), reverse=True)
+            for lo, hi, tokens, _, passages in _scan(batch.column(0), model):
+                yield pa.RecordBatch.from_arrays([pa.array(_evidences(model, lo, hi, tokens, passages)), batch.column(1).slice(lo, hi - lo)], ["x", "toxic"])
+
+    evidence = sorted(((r.x, r.toxic) for r in rows.select("text", "toxic").mapInArrow(seen, "x double, toxic int").collect()), reverse=True)  # at most FIT_ROWS
     best_f, true = 0.0, 0
     for k, (x, toxic) in enumerate(evidence):
         true += toxic
@@ -159,10 +195,13 @@ def fit(rows: DataFrame) -> Model:
     return model
 
 
-def _scores(model: Model, lo: int, hi: int, tokens: np.ndarray, passages: dict[int, list[tuple[int, int, float]]]) -> np.ndarray:
-    x = np.array([_evidence(model, int(tokens[d]), passages[d]) if d in passages else 0.0 for d in range(hi - lo)])
+def _evidences(model: Model, lo: int, hi: int, tokens: np.ndarray, passages: Passages) -> np.ndarray:
+    return np.array([_evidence(model, int(tokens[d]), passages[d]) if d in passages else 0.0 for d in range(hi - lo)], np.float64)
+
+
+def _scores(model: Model, lo: int, hi: int, tokens: np.ndarray, passages: Passages) -> np.ndarray:
     steep = 4.0 / max(model.cut, 1e-6)
-    return 1 / (1 + np.exp(-np.clip(steep * (x - model.cut) + math.log(0.7 / 0.3), -700, 700)))
+    return 1 / (1 + np.exp(-np.clip(steep * (_evidences(model, lo, hi, tokens, passages) - model.cut) + math.log(0.7 / 0.3), -700, 700)))
 
 
 def without_toxic(df: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

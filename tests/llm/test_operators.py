@@ -291,27 +291,44 @@ def lines_of(text):
             k += 1
         lines.append(text[at:k])
         at = k
-    wide = lambda c: ord(c) >= 0xE00
     mark = lambda c: ord(c) < 128 and not c.isalnum()
+    letter = lambda c: not mark(c) and ord(c) < 0xE00
+    inside = lambda c, ranges: any(a <= ord(c) <= b for a, b in ranges)
+    low = lambda c: c in "048dhlptxDHLPTX" or inside(c, ((0x3B1, 0x3B6), (0x410, 0x417), (0x430, 0x437), (0x5D0, 0x5D6), (0x627, 0x62C), (0x915, 0x91F)))
+    wide = lambda c: inside(c, ((0xE40, 0xE4F), (0x3060, 0x306F), (0x30C0, 0x30CF), (0x5000, 0x53FF), (0x6000, 0x63FF), (0x7000, 0x73FF), (0x8000, 0x83FF), (0x9000, 0x93FF)))
+
+    def place(line, k):
+        """Where a cut stands whose four words begin at k, or None."""
+        if all(c >= "\u0e00" for c in line[k : k + 3]) and len(line) > k + 3 and wide(line[k + 3]):
+            return k + 4
+        if not mark(line[k]):
+            return None
+        k += 1
+        for want in (False, False, False, True):
+            if k >= len(line) or not letter(line[k]) or low(line[k]) != want:
+                return None
+            while k < len(line) and letter(line[k]):
+                k += 1
+            if want:
+                return k
+            if k >= len(line) or not mark(line[k]):
+                return None
+            while k < len(line) and mark(line[k]):
+                k += 1
+
     out = []
     for line in lines:
         if len(line) <= LONG or CUT in line:
             out.append(line)
             continue
-        words, k = [], 0
+        k = at = 0
         while k < len(line):
-            j = k + 1
-            if not mark(line[k]) and not wide(line[k]):
-                while j < len(line) and not mark(line[j]) and not wide(line[j]):
-                    j += 1
-            while j < len(line) and mark(line[j]):
-                j += 1
-            words.append(line[k:j])
-            k = j
-        low = [hashlib.md5(w.rstrip(" ").encode()).hexdigest() < "4" for w in words]
-        ends = [i for i in range(3, len(words)) if low[i] and not any(low[i - 3 : i])]
-        cuts = [0, *(e + 1 for e in ends), len(words)]
-        out += [p for p in ("".join(words[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)) if p]
+            end = place(line, k)
+            if end:
+                out.append(line[at:end])
+                at = end
+            k = end or k + 1
+        out += [line[at:]] if at < len(line) else []
     return out
 
 

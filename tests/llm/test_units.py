@@ -1,7 +1,9 @@
 """Building blocks of the corpus operators against brute force, without a cluster."""
 
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +64,24 @@ def test_segments_are_all_maximal_ones(hits):
         return [*split(lo, a), (a, b - 1, best[0]), *split(b, hi)]
 
     want = split(0, 31)
-    assert sum(s for _, _, s in got) == pytest.approx(sum(s for _, _, s in want))
-    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want] or len(got) == len(want)
+    assert [(a, b) for a, b, _ in got] == [(a, b) for a, b, _ in want]
+    assert [s for _, _, s in got] == pytest.approx([s for _, _, s in want])
+
+
+@pytest.mark.parametrize("step", [1, 3, 12])
+def test_segments_take_linear_time(step):
+    """A million hits: side by side, apart, and so far apart that each sum before is the lowest so far."""
+    places, scores = list(range(0, 1_000_000 * step, step)), [0.5 + (i * 7919 % 97) / 40 for i in range(1_000_000)]
+    began = time.perf_counter()
+    found = toxicity.segments(places, scores)
+    assert time.perf_counter() - began < 20 and all(a <= b < c for (a, b, _), (c, _, _) in zip(found, found[1:], strict=False))
+
+
+def test_lambda_is_a_root():
+    scores, counts = np.array([2.5, 4.0]), np.array([30.0, 10.0])
+    x = toxicity._scale(scores, counts, 10_000.0)
+    assert 0 < x and 0.996 * math.exp(-toxicity.DROP * x) + 0.003 * math.exp(2.5 * x) + 0.001 * math.exp(4 * x) == pytest.approx(1)
+    assert toxicity._scale(scores, counts, 45.0) == 0.0
 
 
 def test_phrases_are_longest_matches():

@@ -27,7 +27,6 @@ PLACE = rf"{MARK}(?:[{''.join(c for c in ALNUM if c not in LOW)}{REST}]{LETTER}*
 """A line is cut behind such a word that three others stand before: a place that depends on four words only."""
 CUT = "\uffff"
 """Stands between pieces while a line is cut. It is no character of any text; a line that holds it stays whole."""
-WHITE = " \t\n\x0b\f\r"
 
 
 def _digest(*values: Column) -> Column:
@@ -47,23 +46,25 @@ def lines_of(text: Column) -> Column:
 
 
 def _bare(line: Column) -> Column:
-    return F.rtrim(line, F.lit(WHITE))
+    """Without the blanks and line breaks at the end; a line has breaks nowhere else."""
+    return F.rtrim(F.replace(line, F.lit("\n"), F.lit(" ")))
 
 
-def _at(lines: str, i: Column) -> Column:
-    return _bare(F.get(F.col(lines), i))
+def _hashes(lines: str) -> Column:
+    return F.transform(lines, lambda x: _digest(_bare(x)))
 
 
-def _rolled(lines: str, k: Column) -> Column:
+def _rolled(hashed: str, k: Column) -> Column:
     """Hash of the window k: over lines k and k + 1, or over line -1 - k alone."""
-    return F.when(k < 0, _digest(_digest(_at(lines, -1 - k)))).otherwise(_digest(_digest(_at(lines, k)), _digest(_at(lines, k + 1))))
+    at = lambda i: F.get(F.col(hashed), i)
+    return F.when(k < 0, _digest(at(-1 - k))).otherwise(_digest(at(k), at(k + 1)))
 
 
 def windows(df: DataFrame, lines: str) -> DataFrame:
     """``df`` without its lines, a row (hash, k) for each window: a hash rolled over the hashes of lines k and k + 1, and one
     of each line that is still over-long alone, with k its place negative and less 1."""
     hashed, n, at = own(df, "line_hashes", "n", "at")
-    out = _held(df, hashed, F.transform(lines, lambda x: _digest(_bare(x))))
+    out = _held(df, hashed, _hashes(lines))
     last = F.size(hashed) - 1
     pairs = F.transform(F.col(hashed), lambda x, i: F.when(i < last, _digest(x, F.get(F.col(hashed), i + 1))))
     alone = F.transform(F.col(lines), lambda x, i: F.when(F.length(x) > LONG, _digest(F.get(F.col(hashed), i))))
@@ -82,17 +83,19 @@ def _clashes(marked: DataFrame, lines: str, marks: str) -> DataFrame:
 
     The hash of a window and of its first line settle the second line's, as the last step of the hash is one to one.
     """
-    none = F.lit(None)
-    texts = F.transform(_places(F.col(marks)), lambda i: F.struct(_digest(_at(lines, i)).alias("hash"), none.cast("long").alias("head"), _at(lines, i).alias("bytes")))
-    heads = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), _digest(_at(lines, F.when(w["k"] < 0, -1 - w["k"]).otherwise(w["k"]))).alias("head"), none.cast("string").alias("bytes")))
+    hashed, = own(marked, "line_hashes")
+    marked, none, at = _held(marked, hashed, _hashes(lines)), F.lit(None), lambda i: F.get(F.col(hashed), i)
+    texts = F.transform(_places(F.col(marks)), lambda i: F.struct(at(i).alias("hash"), none.cast("long").alias("head"), _bare(F.get(F.col(lines), i)).alias("bytes")))
+    heads = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), at(F.when(w["k"] < 0, -1 - w["k"]).otherwise(w["k"])).alias("head"), none.cast("string").alias("bytes")))
     rows = marked.select(F.explode(F.concat(texts, heads)).alias("x")).groupBy("x.hash", "x.head", "x.bytes").agg(F.count(F.lit(1)).alias("n"))
     return rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
 
 
 def _spared(marked: DataFrame, lines: str, marks: str, rank: str, key: str, clashes: DataFrame) -> DataFrame:
     """(rank, key, spared): windows that only a clash of hashes called repeated. The windows of clashing hashes are grouped by their bytes."""
+    line = lambda i: _bare(F.get(F.col(lines), i))
     two = lambda k, f: F.struct(f(F.when(k < 0, -1 - k).otherwise(k)).alias("a"), F.when(k >= 0, f(k + 1)).alias("b"))
-    full = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), w["lost"].alias("lost"), two(w["k"], lambda i: _digest(_at(lines, i))).alias("h"), two(w["k"], lambda i: _at(lines, i)).alias("t")))
+    full = F.transform(F.col(marks), lambda w: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), w["lost"].alias("lost"), two(w["k"], lambda i: _digest(line(i))).alias("h"), two(w["k"], line).alias("t")))
     rows = marked.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(full).alias("w")).select("rank", "key", "w.hash", "w.k", "w.lost", F.col("w.h.a").alias("ha"), F.col("w.h.b").alias("hb"), "w.t")
     for c in ("hash", "ha", "hb"):
         rows = rows.join(clashes.select(F.col("hash").alias(f"{c}_c")).distinct().withColumn(f"{c}_bad", F.lit(True)), F.col(c) == F.col(f"{c}_c"), "left")
@@ -109,31 +112,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     A hash is rolled over the line hashes two by two, and over each line that no word could cut below LONG characters.
     Where a window stands in a row of smaller id, or further ahead in its own text, its lines go. So a chunk runs as
     long as its windows are repeated ones: its boundaries follow from the content, whatever stands around it, and a
-    repeated run of two lines or more goes whole but where it stands first. Lines are equal byte for byte, white space
-    at their end aside: hashes only find them. Every line of a repeated window meets the others of its hash, and windows
+    repeated run of two lines or more goes whole but where it stands first. Lines are equal byte for byte, blanks and
+    line breaks at their end aside: hashes only find them. Every line of a repeated window meets the others of its hash, and windows
     whose hashes stand for more than one text are grouped again by their bytes.
 
     Null texts stay null and empty ones empty, with 0 lines. A null id comes after all others. Rows of equal ids, or both
     without, take nothing from each other; where they share the text too they are one document.
     """
     rank, key, lines, marks, spared, n_lines, n_removed = own(df, "line_rank", "text_key", "lines", "marks", "spared", "n_lines", "n_removed")
-    m_rank, m_key, s_rank, s_key, left, codes, found = own(df, "m_rank", "m_key", "s_rank", "s_key", "left", "codes", "found")
+    m_rank, m_key, s_rank, s_key, left, codes, found, hashed = own(df, "m_rank", "m_key", "s_rank", "s_key", "left", "codes", "found", "line_hashes")
     cut = Spare()
     named = df.withColumns({rank: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), key: F.xxhash64(text_col)})
     slim = named.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(F.array(lines_of(F.col(text_col)))).alias("lines"))
     every = cut(windows(slim, "lines"), "windows")
-    first = every.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first")
-    met = every.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size
+    first = cut(every.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first"), "first")
+    met = every.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size, of which hot hashes are split
     code = F.col("k") * 2 + (F.col("rank") > F.col("first")).cast("int")
     known = cut(met.groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key)).agg(F.collect_set(code).alias(codes)), "marks")  # a text's own windows
     cut.drop_but(known)
     joined = named.hint("merge").join(known.hint("merge"), (F.col(rank) == F.col(m_rank)) & (F.col(key) == F.col(m_key)), "left").drop(m_rank, m_key)
     joined = _held(joined, lines, lines_of(F.col(text_col))).drop(text_col)
+    joined = _held(joined, hashed, F.when(F.col(codes).isNotNull(), _hashes(lines)))
     place = lambda c: F.floor(c / 2).cast("int")
-    ordered = F.sort_array(F.transform(F.col(codes), lambda c: F.struct(_rolled(lines, place(c)).alias("hash"), place(c).alias("k"), (F.pmod(c, F.lit(2)) == 1).alias("later"))))
+    ordered = F.sort_array(F.transform(F.col(codes), lambda c: F.struct(_rolled(hashed, place(c)).alias("hash"), place(c).alias("k"), (F.pmod(c, F.lit(2)) == 1).alias("later"))))
     again = lambda i: F.coalesce((i > 0) & (F.get(F.col(found), i - 1)["hash"] == F.get(F.col(found), i)["hash"]), F.lit(False))
     lost = F.transform(F.col(found), lambda w, i: F.struct(w["hash"].alias("hash"), w["k"].alias("k"), (w["later"] | again(i)).alias("lost")))
-    whole = cut(_held(joined, found, ordered).withColumn(marks, lost).drop(found, codes), "lines")
+    whole = cut(_held(joined, found, ordered).withColumn(marks, lost).drop(found, codes, hashed), "lines")
     cut.drop_but(whole)
     known = whole.filter(F.col(marks).isNotNull())
     clashes = cut(_clashes(known, lines, marks), "clashes")

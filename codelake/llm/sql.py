@@ -46,7 +46,7 @@ OP9 = rf"""
 with l as (select row_number() over () as n, doc_id, text, list_filter(regexp_extract_all(coalesce(text, ''), '{LINE}'), lambda x: x <> '') as ls from documents),
 u as (select n, doc_id, text, flatten(list_transform(ls, lambda x: case when length(x) <= {LONG} or contains(x, chr(65535)) then [x] else
   list_filter(string_split(regexp_replace(x, '{PLACE}', '\0' || chr(65535), 'g'), chr(65535)), lambda p: p <> '') end)) as us from l),
-b as (select n, coalesce(doc_id, 9223372036854775807) as rank, us, list_transform(us, lambda x: rtrim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) as bare from u),
+b as (select n, coalesce(doc_id, 9223372036854775807) as rank, us, list_transform(us, lambda x: rtrim(x, ' ' || chr(10))) as bare from u),
 w as (select n, rank, unnest(list_concat(list_transform(range(1, greatest(len(us), 1)), lambda i: {{'k': i, 'to': i + 1, 'a': bare[i], 'b': bare[i + 1]}}), list_transform(list_filter(range(1, len(us) + 1), lambda i: length(us[i]) > {LONG}), lambda i: {{'k': i, 'to': i, 'a': bare[i], 'b': cast(null as varchar)}}))) as w from b),
 o as (select n, w.k as k, w.to as upto, rank > min(rank) over (partition by w.a, w.b) or w.k > min(w.k) over (partition by n, w.a, w.b) as lost from w),
 gone as (select distinct n, unnest([k, upto]) as k from o where lost),

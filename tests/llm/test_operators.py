@@ -335,7 +335,7 @@ def lines_of(text):
 def windows_of(text):
     """(place, lines) of each two adjacent lines and of each over-long one."""
     lines = lines_of(text)
-    bare = [x.rstrip(" \t\n\x0b\f\r") for x in lines]
+    bare = [x.rstrip(" \n") for x in lines]
     return lines, [((i, i + 1), (bare[i], bare[i + 1])) for i in range(len(lines) - 1)] + [((i,), (bare[i],)) for i, x in enumerate(lines) if len(x) > LONG]
 
 

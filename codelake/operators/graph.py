@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 
 LOCAL_EDGES = 200_000
-"""Edges up to which a closure runs as one task: rounds of joins cost more than the whole walk."""
+"""Edges and roots up to which a closure runs as one task: rounds of joins cost more than the whole walk."""
 
 
 def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,11 +42,11 @@ def reachable(roots: DataFrame, edges: DataFrame, local_edges: int = LOCAL_EDGES
     """roots(node), edges(src, dst, strong) of strings -> (node, strong): all reachable nodes, and whether strong edges alone reach them.
 
     A node is visited again when a strong way to it turns up, so the result is that of two closures. Up to ``local_edges``
-    edges one task walks the graph; beyond, each round is a join of the frontier with the edges.
+    edges and roots one task walks the graph; beyond, each round is a join of the frontier with the edges.
     """
-    edges = cut(edges.groupBy("src", "dst").agg(F.bool_or("strong").alias("strong")))
-    if edges.count() <= local_edges:
-        rows = edges.unionByName(roots.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(True).alias("strong")).distinct())
+    edges, roots = cut(edges.groupBy("src", "dst").agg(F.bool_or("strong").alias("strong"))), cut(roots.select("node").distinct())
+    if edges.count() + roots.count() <= local_edges:
+        rows = edges.unionByName(roots.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(True).alias("strong")))
         return rows.coalesce(1).mapInPandas(_walk, "node string, strong boolean")
     seen = frontier = cut(roots.select("node", F.lit(True).alias("strong")).distinct())
     while not frontier.isEmpty():
@@ -131,7 +131,7 @@ def cycles(edges: DataFrame) -> DataFrame:
     return edges.join(parts, "src").groupBy("component").applyInPandas(_cycles_of, "cycle array<string>")
 
 
-def mutual_reach(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def mutual_reach(edges: DataFrame) -> DataFrame:
     """edges(src, dst) -> (node, component): members of strongly connected components of two nodes or more, by smallest member.
 
     Sinks and sources are trimmed over and over; what is left is walked component by weak component.

@@ -3,10 +3,28 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from heapq import heappop, heappush
 
 from .tokens import Token
 
 
+def enclosing(spans: list[tuple[int, int, int]], places: list[int]) -> list[int | None]:
+    """For each place the id of the shortest (start, end, id) around it, the smallest id on ties; None where there is none.
+
+    One sweep over both in order: a heap holds the spans that have begun, and those that have ended fall off its top.
+    """
+    out: list[int | None] = [None] * len(places)
+    todo, begun = sorted(spans, reverse=True), []
+    for k in sorted(range(len(places)), key=places.__getitem__):
+        while todo and todo[-1][0] <= places[k]:
+            start, end, i = todo.pop()
+            heappush(begun, (end - start, i, end))
+        while begun and begun[0][2] <= places[k]:
+            heappop(begun)
+        out[k] = begun[0][1] if begun else None
+    return out
+
+
 @dataclass
 class Parsed:
     """The tables' rows of one file; ids count from 0, the file itself, in the order of emission."""
@@ -18,6 +36,8 @@ class Parsed:
     complexity: list[tuple] = field(default_factory=list)  # id, cx
     unresolved: list[tuple] = field(default_factory=list)  # from, callee
     tokens: list[tuple] = field(default_factory=list)  # start, end, line, norm
+    error: str | None = None
+    """What was damaged; the rest of the file still counts."""
 
     def symbol(self, kind: str, name: str, fqn: str, start: int, end: int, line: int) -> int:
         self.symbols.append((len(self.symbols), kind, name, fqn, start, end, line))
@@ -44,16 +64,13 @@ class Parsed:
         """
         functions = [s for s in self.symbols if s[1] == "function"]
         by_name = {s[2]: s[0] for s in functions}
-        spans = sorted((s[4], s[5], s[0]) for s in functions)
+        owners = enclosing([(s[4], s[5], s[0]) for s in functions], [at for at, _ in calls])
         edges, rest = [], []
-        for at, callee in calls:
-            around = [(end - start, i) for start, end, i in spans if start <= at < end]
-            owner = min(around)[1] if around else 0
-            if callee in by_name:
-                if around or file_calls:
-                    edges.append((owner, by_name[callee]))
-            else:
-                rest.append((owner, callee))
+        for owner, (_, callee) in zip(owners, calls, strict=True):
+            if callee not in by_name:
+                rest.append((owner or 0, callee))
+            elif owner is not None or file_calls:
+                edges.append((owner or 0, by_name[callee]))
         if unique:
             edges, rest = sorted(set(edges)), sorted(set(rest))
         self.edges += [(a, b, "calls", "likely") for a, b in edges]

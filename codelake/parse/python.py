@@ -63,6 +63,30 @@ def _tokens(src: str, line_at: list[int], where: Offsets) -> list[tuple]:
     return out
 
 
+def _tree(src: str) -> tuple[ast.Module, str | None]:
+    """The syntax tree, without the lines that break it, and the first such line's error.
+
+    A damaged line becomes ``pass``, or ``if 1:`` where it heads a block, so that what stands around it keeps its place;
+    one that was replaced already takes the next untouched line with it. Each round replaces a line, so it ends.
+    """
+    lines, error, done = src.splitlines(keepends=True), None, set()
+    while True:
+        try:
+            return ast.parse("".join(lines)), error
+        except RecursionError as e:
+            return ast.parse(""), f"{type(e).__name__}: {e}"
+        except (SyntaxError, ValueError) as e:
+            error = error or f"{type(e).__name__}: {e}"
+            at = min(max((getattr(e, "lineno", None) or 1) - 1, 0), max(len(lines) - 1, 0))
+            at = next((k for k in [*range(at, len(lines)), *range(at - 1, -1, -1)] if k not in done), None)
+            if at is None:
+                return ast.parse(""), error
+            done.add(at)
+            body = lines[at].rstrip("\r\n")
+            indent = body[: len(body) - len(body.lstrip(" \t"))]
+            lines[at] = indent + ("if 1:" if body.rstrip().endswith(":") and at + 1 < len(lines) else "pass") + lines[at][len(body) :]
+
+
 def parse(file: str, src: str) -> Parsed:
     out, where = Parsed(file), Offsets(src)
     end = len(src.encode("utf-8", "surrogatepass"))
@@ -70,10 +94,7 @@ def parse(file: str, src: str) -> Parsed:
     out.entrypoints.append(0)
     line_at = [0, *where.lines, len(src)]
     out.tokens = _tokens(src, line_at, where)
-    try:
-        tree = ast.parse(src)
-    except (SyntaxError, ValueError, RecursionError):
-        return out
+    tree, out.error = _tree(src)
     at = lambda line, col: where.byte(line_at[line - 1]) + col  # noqa: E731  ast columns are bytes
     nodes = [n for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef)]
     for n in sorted(nodes, key=lambda n: (n.lineno, n.col_offset)):

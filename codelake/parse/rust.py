@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 from .model import Code, Parsed, normalize, parent
 from .tokens import lex
 
@@ -25,7 +27,8 @@ def _macros(code: Code) -> list[tuple[int, int]]:
 
 
 def _inside(spans: list[tuple[int, int]], i: int) -> bool:
-    return any(a <= i < b for a, b in spans)
+    k = bisect_right(spans, i, key=lambda s: s[0]) - 1  # spans are in order and apart
+    return k >= 0 and i < spans[k][1]
 
 
 def cyclomatic(code: Code, lo: int, hi: int, macros: list[tuple[int, int]]) -> int:

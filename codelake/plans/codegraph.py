@@ -37,7 +37,7 @@ tokens array<struct<start_byte: long, end_byte: long, start_line: int, norm: str
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a file; a file that is no UTF-8 or breaks its parser has an error and no rows."""
+    """One row a file; a file that is no UTF-8 or breaks its parser has an error and no rows, a damaged one both."""
     named = lambda kind, rows: [dict(zip(kind, r, strict=True)) for r in rows]
     keys = {f.name: [c.name for c in f.type.value_type] for f in PARSED if pa.types.is_list(f.type) and pa.types.is_struct(f.type.value_type)}
     done, size = [], 0
@@ -46,7 +46,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row = {"file": file.as_py(), "lang": lang.as_py(), "error": None, "symbols": [], "edges": [], "entrypoints": [], "complexity": [], "unresolved": [], "tokens": []}
             try:
                 p = PARSERS[row["lang"]](row["file"], data.as_py().decode("utf-8"))
-                row |= {"entrypoints": p.entrypoints} | {c: named(k, getattr(p, c)) for c, k in keys.items()}
+                row |= {"entrypoints": p.entrypoints, "error": p.error} | {c: named(k, getattr(p, c)) for c, k in keys.items()}
             except Exception as e:  # noqa: BLE001  one bad file must not end a scan; it is reported
                 row["error"] = f"{type(e).__name__}: {e}"
             done.append(row)

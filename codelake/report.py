@@ -90,7 +90,7 @@ def as_json(found: list[dict]) -> str:
     return json.dumps({"schema_version": SCHEMA_VERSION, "findings": found}, indent=2, ensure_ascii=False)
 
 
-# What a rule finds, as shown by viewers of SARIF.
+# What a rule finds, as shown by viewers of SARIF.
 DESCRIPTIONS = {
     "dead_code": "Functions that no entrypoint reaches",
     "duplication": "Duplicated code blocks",

@@ -118,7 +118,7 @@ def _linked(a: np.ndarray, b: np.ndarray, raw_a: np.ndarray, raw_b: np.ndarray,
         done = upto
     close = np.abs(dot - cosine) <= SLACK  # the axes' rounding must not decide: the vectors themselves do
     if close.any():
-        u, v = raw_a[i[close]], raw_b[j[close]]
+        u, v = (x / np.abs(x).max(axis=1, keepdims=True) for x in (raw_a[i[close]], raw_b[j[close]]))  # no square overflows
         dot[close] = (u * v).sum(axis=1) / (np.sqrt((u * u).sum(axis=1)) * np.sqrt((v * v).sum(axis=1)))
     return i[dot >= cosine], j[dot >= cosine]
 

@@ -31,8 +31,3 @@ def header_map(text: Column) -> Column:
     entries = F.transform(pairs, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), value(p).alias("v")))
     put = lambda acc, e: F.map_concat(F.map_filter(acc, lambda k, _: k != e["k"]), F.map_from_entries(F.array(e)))
     return F.aggregate(entries, F.create_map().cast("map<string,string>"), put)
-
-
-def token_norm(token: Column) -> Column:
-    """The coarse norm of the text tokens of the test tables: numbers, longer words, everything else as it is."""
-    return F.when(token.rlike("^[0-9]+$"), "NUM").when(token.rlike("^[A-Za-z_][A-Za-z0-9_]{4,}$"), "ID").otherwise(token)

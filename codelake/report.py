@@ -32,12 +32,6 @@ def gate(findings: DataFrame, threshold: str | None) -> bool:
     return not findings.filter(rank(F.col("severity"), SEVERITIES) >= SEVERITIES.index(threshold)).isEmpty()
 
 
-def gates(findings: DataFrame) -> DataFrame:
-    """(threshold, fails) for every level."""
-    levels = findings.agg(F.coalesce(F.max(rank(F.col("severity"), SEVERITIES)), F.lit(-1)).alias("top"))
-    return levels.select(F.explode(F.array(*(F.struct(F.lit(s).alias("threshold"), (F.col("top") >= i).alias("fails")) for i, s in enumerate(SEVERITIES)))).alias("g")).select("g.*")
-
-
 def scan_stats(symbols: DataFrame, complexity: DataFrame, languages: DataFrame) -> DataFrame:
     """One row: files, functions, largest and mean complexity (0 without any), sorted languages."""
     counts = symbols.agg(F.count_if(F.col("kind") == "file").alias("files"), F.count_if(F.col("kind") == "function").alias("functions"))
@@ -58,11 +52,6 @@ def totals(findings: DataFrame) -> DataFrame:
     return view.groupingSets([[F.col("rule")], [F.col("severity")], []], "rule", "severity").agg(F.count(F.lit(1)).alias("value"))
 
 
-def rules_first_seen(findings: DataFrame) -> DataFrame:
-    """(rule, place) of the rules that occur, in the order of the report."""
-    return findings.select("rule").distinct().withColumn("place", rank(F.col("rule"), RULES))
-
-
 def diagnostics(findings: DataFrame) -> DataFrame:
     """(file, items): the findings of each file, in order, as an editor wants them."""
     item = F.struct((rank(F.col("rule"), RULES)).alias("rank"), "ord", "rule", "severity", "message", "start_line")

@@ -2,20 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Boundaries
-from .functions.text import TOKEN, header_map, remote_parts, token_norm
+from .functions.text import TOKEN, header_map, remote_parts
 from .operators import analyses, graph, resolve
-from .report import diagnostics, gates, metrics, rules_first_seen, scan_stats, totals, union
+from .parse.model import enclosing, normalize
+from .parse.tokens import Token
+from .plans.codegraph import CodeGraph, parse_files
+from .report import by_rule, diagnostics, gate, metrics, rows, sarif, scan_stats, totals, union
+from .schema import RULES, SEVERITIES
+from .sources.git import count_commits
 from .sources.tables import read_table
 
 K = 8
 CX, FLOOR, SCORE = 6, 5, 300
 FORBID = [("AFRICA", "MIDDLE EAST"), ("ASIA", "MIDDLE EAST"), ("EUROPE", "AMERICA")]
+KEYWORDS = frozenset({"the", "and", "der", "de", "la"})
+# Language, ending, head, a branch, tail: @K is the customer's key, @N the nation's.
+SOURCES = [
+    ("java", ".java", "class C@K {\n  int f@K(int x) {\n", "    if (x > 1 && x < 9) {\n      return h@N(x);\n    }\n", "    return x;\n  }\n}\n"),
+    ("ruby", ".rb", "def f@K(x)\n", "  if x && true\n    h@N(x)\n  end\n", "end\n"),
+    ("typescript", ".ts", "function f@K(x: number) {\n", "  if (x && true) {\n    return h@N(x);\n  }\n", "  return 0;\n}\n"),
+    ("python", ".py", "import r@N.m\n\ndef f@K(x):\n    def g@K(y):\n        return f@K(y) if y else h@N(y)\n", "    if x and g@K(x):\n        return h@N(x)\n", "    return 0\n"),
+    ("go", ".go", "package p\n\nfunc f@K(x int) int {\n", "\tif x > 1 && x < 9 {\n\t\treturn h@N(x)\n\t}\n", "\treturn 0\n}\n"),
+    ("rust", ".rs", "fn f@K(x: i32) -> i32 {\n", "    if x > 1 && x < 9 {\n        return h@N(x);\n    }\n", "    0\n}\n"),
+]
 LAYERS = {"blog": ["**/blog/**", "**/post*"], "docs": ["**/doc*/**", "**/wiki/**"], "page": ["**/p*"], "rest": ["**"]}
 
 
@@ -61,13 +78,13 @@ def part_calls(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return symbols, edges, t.part.filter("p_size = 1").select(F.lit("p").alias("file"), F.col("p_partkey").cast("int").alias("local_id"))
 
 
-def nation_imports(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Symbols and edges: a nation is a file in its region's folder and imports the two nations its customers buy most from."""
+def nation_imports(t: Tables, most: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Symbols and edges: a nation is a file in its region's folder and imports the ``most`` nations its customers buy most from."""
     sold = (
         t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey"))
         .groupBy("c_nationkey", "s_nationkey").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"))
     )
-    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cents")).alias("c"), F.col("s_nationkey").alias("n")))), 1, 2)  # nations
+    top = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("cents")).alias("c"), F.col("s_nationkey").alias("n")))), 1, most)  # nations
     best = sold.groupBy("c_nationkey").agg(top.alias("best")).select("c_nationkey", F.explode("best").alias("b")).select("c_nationkey", F.col("b.n").alias("to"))
     named = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", F.lit("/"), "n_name").alias("path"))
     files = _symbols(named, F.col("path"), F.lit(0), "file", F.col("path"), F.col("path"))
@@ -90,7 +107,7 @@ def complexity_findings(t: Tables) -> DataFrame:
 
 
 def churn(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("user_id").cast("string").alias("file")).agg(F.count(F.lit(1)).alias("commits"))
+    return count_commits(t.events.select(F.col("user_id").cast("string").alias("file"), F.lit(1).alias("n")))
 
 
 def hotspot_findings(t: Tables) -> DataFrame:
@@ -163,16 +180,63 @@ def duplication_findings(t: Tables) -> DataFrame:
 
 
 def token_normalize(t: Tables) -> DataFrame:
-    return document_tokens(t).groupBy(token_norm(F.col("norm")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
+    """The parsers' norms over the documents' tokens, with KEYWORDS for reserved words."""
+
+    def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [Token("op" if not x.isascii() or not x[0].isalnum() and x[0] != "_" else "number" if x.isdecimal() else "word", x, 0, 0, 1) for x in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for *_, n in normalize(tokens, KEYWORDS, {"number": "NUM"})], pa.string())], ["norm"])
+
+    return document_tokens(t).select("norm").mapInArrow(norms, "norm string").groupBy("norm").agg(F.count(F.lit(1)).alias("n"))
 
 
 def enclosing_function(t: Tables) -> DataFrame:
     """Lines of an order are nested ranges that end at 10; each place 0 to 9 belongs to the shortest that holds it, then the smallest part."""
-    spans = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("start"), "l_partkey")
-    points = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("place"))
-    inside = points.join(spans, "l_orderkey").filter("start <= place and place < 10")
-    best = inside.groupBy("l_orderkey", "place").agg(F.min_by(F.struct("start", "l_partkey"), F.struct((10 - F.col("start")).alias("n"), "l_partkey")).alias("b"))
-    return best.select("l_orderkey", F.col("place").cast("long"), F.col("b.start").cast("long").alias("start"), F.col("b.l_partkey").alias("l_partkey"))
+    lines = t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))).alias("lines"))  # an order's own
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for order, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                owners = enclosing([(x["l_linenumber"], 10, i) for i, x in enumerate(spans)], list(range(10)))
+                out += [(order, p, spans[i]["l_linenumber"], spans[i]["l_partkey"]) for p, i in enumerate(owners) if i is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], pa.int64()) for c in range(4)], ["l_orderkey", "place", "start", "l_partkey"])
+
+    orders = t.orders.select(F.col("o_orderkey").alias("l_orderkey"))
+    return orders.join(lines, "l_orderkey").mapInArrow(places, "l_orderkey long, place long, start long, l_partkey long")
+
+
+def sources(t: Tables) -> DataFrame:
+    """(file, lang, content): each customer is a source file in one of six languages, with one to three branches."""
+    k, n, times = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 3 + 1).cast("int")
+    fill = lambda x: F.replace(F.replace(F.lit(x), F.lit("@K"), k), F.lit("@N"), n)
+    pick = lambda f: F.element_at(F.array(*(f(x) for x in SOURCES)), (F.col("c_custkey") % len(SOURCES) + 1).cast("int"))
+    text = pick(lambda x: F.concat(fill(x[2]), F.repeat(fill(x[3]), times), fill(x[4])))
+    return t.customer.select(F.concat(F.lit("f"), k, pick(lambda x: F.lit(x[1]))).alias("file"), pick(lambda x: F.lit(x[0])).alias("lang"), text.cast("binary").alias("content"))
+
+
+def parsed(t: Tables) -> CodeGraph:
+    return parse_files(sources(t))
+
+
+def parse_functions(t: Tables) -> DataFrame:
+    """Functions with their lines and complexity, parsed from source text."""
+    g = parsed(t)
+    return g.symbols.filter("kind = 'function'").join(g.complexity, ["file", "local_id"]).select("file", "name", F.col("start_line").cast("long").alias("start_line"), "cx")
+
+
+def parse_calls(t: Tables) -> DataFrame:
+    """Calls that leave the file, with the functions around them, parsed from source text."""
+    g = parsed(t)
+    owner = g.symbols.select("file", F.col("local_id").alias("from_id"), F.col("name").alias("owner"))
+    return g.unresolved.join(owner, ["file", "from_id"]).select("file", "owner", "callee")
+
+
+def parse_edges(t: Tables) -> DataFrame:
+    """What files define and which of their functions call each other, parsed from source text."""
+    g = parsed(t)
+    name = lambda c: g.symbols.select("file", F.col("local_id").alias(f"{c}_id"), F.when(F.col("kind") == "file", "file").otherwise(F.col("name")).alias(c))
+    return g.edges.filter("kind in ('defines', 'calls')").join(name("from"), ["file", "from_id"]).join(name("to"), ["file", "to_id"]).select("file", F.col("from").alias("src"), F.col("to").alias("dst"), "kind", "confidence")
 
 
 def import_graph(t: Tables) -> DataFrame:
@@ -192,6 +256,21 @@ def cycle_findings(t: Tables) -> DataFrame:
     return analyses.import_cycles(*nation_imports(t))
 
 
+def cycle_findings_single(t: Tables) -> DataFrame:
+    """Each nation imports one other at most: the cycles are the graph's only closed walks."""
+    return analyses.import_cycles(*nation_imports(t, 1))
+
+
+def gate_by_threshold(t: Tables) -> DataFrame:
+    found = every_finding(t)
+    return t.spark.createDataFrame([(s, gate(found, s)) for s in SEVERITIES], "threshold string, fails boolean")
+
+
+def sarif_rules_first_seen(t: Tables) -> DataFrame:
+    driver = json.loads(sarif(rows(every_finding(t))))["runs"][0]["tool"]["driver"]
+    return t.spark.createDataFrame([(r["id"], RULES.index(r["id"])) for r in driver["rules"]], "rule string, place int")
+
+
 def scc_members(t: Tables) -> DataFrame:
     return graph.mutual_reach(import_graph(t))
 
@@ -238,15 +317,19 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "boundary_findings": boundary_findings,
     "layer_classify_glob": layer_classify_glob,
     "cycle_findings": cycle_findings,
+    "cycle_findings_single": cycle_findings_single,
+    "parse_functions": parse_functions,
+    "parse_calls": parse_calls,
+    "parse_edges": parse_edges,
     "scc_members": scc_members,
     "scan_stats": scan_statistics,
-    "gate_by_threshold": lambda t: gates(every_finding(t)),
+    "gate_by_threshold": gate_by_threshold,
     "metrics_grouped": lambda t: metrics(every_finding(t), languages(t)),
     "run_event": lambda t: totals(every_finding(t)),
     "findings_union": every_finding,
-    "findings_by_rule": lambda t: every_finding(t).filter("rule = 'hotspot'"),
+    "findings_by_rule": lambda t: by_rule(every_finding(t), "hotspot"),
     "lsp_diagnostics": lsp_diagnostics,
-    "sarif_rules_first_seen": lambda t: rules_first_seen(every_finding(t)),
+    "sarif_rules_first_seen": sarif_rules_first_seen,
     "parse_headers": parse_headers,
     "remote_names": remote_names,
 }

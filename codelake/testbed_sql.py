@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .functions.globs import glob_to_regex
-from .testbed import CX, FLOOR, FORBID, K, LAYERS, SCORE
+from .testbed import CX, FLOOR, FORBID, K, KEYWORDS, LAYERS, SCORE
 
 SPAN = "cast(0 as bigint) as start_byte, cast(0 as bigint) as end_byte, cast(1 as integer) as start_line"
 ORD = "{file} || chr(0) || lpad(cast({id} as varchar), 10, '0')"
@@ -34,6 +34,7 @@ DUPLICATION = f"""anchor as (select * from dup d where place = first and not exi
 pair as (select a.file, a.pos, a.place, min(o.place) as partner, count(*) as n from anchor a join dup o on o.key = a.key and (o.file <> a.file or o.pos >= a.pos + {K}) group by 1, 2, 3)
 select 'duplication' as rule, 'warning' as severity, 'duplicated code block (>= {K} tokens) also at ' || split_part(partner, chr(0), 1) || ':1' || case when n > 1 then ' and ' || (n - 1) || ' more' else '' end as message, file, cast(pos as bigint) as start_byte, cast(pos + {K} as bigint) as end_byte, cast(1 as integer) as start_line, 'certain' as confidence, place as ord from pair"""
 LAYER = "case " + " ".join(f"when {' or '.join(f"regexp_matches(path, '{glob_to_regex(g)}')" for g in gs)} then '{name}'" for name, gs in sorted(LAYERS.items())) + " end"
+FILES = "src as (select 'f' || c_custkey || ['.java', '.rb', '.ts', '.py', '.go', '.rs'][c_custkey % 6 + 1] as file, c_custkey as k, c_nationkey as n, c_custkey % 6 as l, c_custkey % 3 + 1 as times from customer)"
 PATHS = "paths as (select page_id, regexp_replace(url, '^[a-z]+://', '') as path from pages)"
 
 SQL: dict[str, str] = {
@@ -55,7 +56,14 @@ best as (select page_id, arg_max(dir, length(dir)) as dir from paths join dirs o
 select page_id, coalesce(dir, path) as name from paths left join best using (page_id)""",
     "clone_windows": f"with {WINDOWS} select n, count(*) as groups from grp group by n",
     "duplication_findings": f"with {WINDOWS}, {DUPLICATION}",
-    "token_normalize": f"with {TOKENS} select case when regexp_matches(norm, '^[0-9]+$') then 'NUM' when regexp_matches(norm, '^[A-Za-z_][A-Za-z0-9_]{{4,}}$') then 'ID' else norm end as norm, count(*) as n from tok group by 1",
+    "token_normalize": f"with {TOKENS} select case when regexp_matches(norm, '^[0-9]+$') then 'NUM' when regexp_matches(norm, '^[A-Za-z0-9_]+$') and norm not in ({', '.join(repr(k) for k in sorted(KEYWORDS))}) then 'ID' else norm end as norm, count(*) as n from tok group by 1",
+    "cycle_findings_single": f"""with recursive {NATIONS.replace('r <= 2', 'r <= 1')}, walk(start, place, path) as (select src, dst, [src] from uses union all select start, u.dst, list_append(path, place) from walk join uses u on u.src = place where place <> start and not list_contains(path, place)),
+ring as (select start, path from walk where place = start and start = list_min(path))
+select 'cycle' as rule, 'warning' as severity, 'circular dependency: ' || array_to_string(path, ' -> ') as message, start as file, {SPAN}, 'certain' as confidence, array_to_string(path, chr(0)) as ord from ring""",
+    "parse_functions": f"with {FILES} select file, 'f' || k as name, cast([2, 1, 1, 3, 3, 1][l + 1] as bigint) as start_line, cast(1 + 2 * times + case l when 3 then 1 else 0 end as bigint) as cx from src union all select file, 'g' || k, 4, 2 from src where l = 3",
+    "parse_calls": f"with {FILES} select file, 'f' || k as owner, 'h' || n as callee from src union all select file, 'g' || k, 'h' || n from src where l = 3 union all select file, 'f' || k, 'x' from src where l = 1",
+    "parse_edges": f"""with {FILES} select file, 'file' as src, 'f' || k as dst, 'defines' as kind, 'certain' as confidence from src union all select file, 'file', 'g' || k, 'defines', 'certain' from src where l = 3
+union all select file, 'file', 'C' || k, 'defines', 'certain' from src where l = 0 union all select file, 'f' || k, 'g' || k, 'calls', 'likely' from src where l = 3 union all select file, 'g' || k, 'f' || k, 'calls', 'likely' from src where l = 3""",
     "enclosing_function": """with p as (select o_orderkey as l_orderkey, unnest(range(10)) as place from orders)
 select l_orderkey, place, cast(l_linenumber as bigint) as start, l_partkey from (select p.l_orderkey, place, l_linenumber, l_partkey, row_number() over (partition by p.l_orderkey, place order by 10 - l_linenumber, l_partkey) as r from p join lineitem l on l.l_orderkey = p.l_orderkey and l_linenumber <= place) where r = 1""",
     "import_graph": f"with {NATIONS} select src, dst from uses",

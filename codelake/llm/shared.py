@@ -37,10 +37,11 @@ class Spare:
 
     def drop_but(self, *kept: DataFrame) -> None:
         """Drop the other cuts, and have the driver's JVM collect the plans behind them, so that their shuffle files go too."""
-        for df in self.made:
-            if all(df is not k for k in kept):
-                drop(df)
-                df.sparkSession.sparkContext._jvm.System.gc()
+        spare = [df for df in self.made if all(df is not k for k in kept)]
+        for df in spare:
+            drop(df)
+        if spare:
+            spare[0].sparkSession.sparkContext._jvm.System.gc()
         self.made = [df for df in self.made if any(df is k for k in kept)]
 
 

@@ -5,9 +5,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -21,6 +24,8 @@ LEAST = 100
 """Payload bytes from which on an equal payload is stored once and revisited."""
 ROLL_BYTES = 1 << 30
 """Compressed bytes after which a shard goes on in its next file."""
+SHARD_BYTES = 256 << 20
+"""Payload bytes of a shard at most, about: what one task reads and sorts. A shuffle partition is one shard at least."""
 DATE = "1970-01-01T00:00:00Z"
 """Date of every record: the pages carry none, and equal input must give equal files."""
 CHUNK = 1 << 20
@@ -65,8 +70,9 @@ def planned(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
     """(key, url, digest, size, refers_to, refers_url, shard) of each page, without the payloads.
 
     Equal payloads of LEAST bytes or more refer to the page of the smallest key among them; a null key refers to another
-    page but none refers to it. Shards are equal parts of the bytes to write in the order of keys, from prefix sums, so
-    they depend on the pages and the number of shards alone (the writer keeps pages of one key together).
+    page but none refers to it. Shards are equal parts of the payloads' bytes (and 512 for each record) in the order of
+    keys and digests, from prefix sums: what a task reads, be its pages responses or revisits. There is one for each
+    ``SHARD_BYTES``, and for each shuffle partition at least, so they depend on the pages and that number alone.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
@@ -77,32 +83,51 @@ def planned(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", pa
     first = cut(first.join(any_null, "digest", "left").filter("copies > 1 or null_too").select("digest", "first", "first_url"), "warc-first")
     linked = slim.join(first, "digest", "left")
     again = F.col("first").isNotNull() & long & ~F.col("key").eqNullSafe(F.col("first"))
-    rows = linked.select("key", "url", "digest", "size", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"), (F.when(again, 0).otherwise(F.col("size")) + 512).alias("cost"))
+    rows = linked.select("key", "url", "digest", "size", F.when(again, F.col("first")).alias("refers_to"), F.when(again, F.col("first_url")).alias("refers_url"), (F.col("size") + 512).alias("cost"))
     run = prefix_sums(rows, [F.col("key"), F.col("digest"), F.col("url")], "cost")
-    total = rows.agg(F.coalesce(F.sum("cost"), F.lit(1)).alias("total"))
-    shard = F.expr(f"(sum_before * {partitions(spark)}) div total").cast("int")
-    return cut(run.crossJoin(F.broadcast(total)).withColumn("shard", shard).drop("row_before", "sum_before", "total", "cost"), "warc-plan")  # one row
+    total = slim.agg(F.coalesce(F.sum(F.col("size") + 512), F.lit(1)).alias("total")).withColumn("shards", F.greatest(F.lit(partitions(spark)), F.ceil(F.col("total") / SHARD_BYTES)))
+    shard = F.expr("floor(sum_before / total * shards)").cast("int")
+    return cut(run.crossJoin(F.broadcast(total)).withColumn("shard", shard).drop("row_before", "sum_before", "total", "shards", "cost"), "warc-plan")  # one row
+
+
+def _shard_of(starts: list[tuple[int | None, str]]):
+    """A pandas UDF of (whether the key is null, key or 0, digest): how many of the sorted ``starts`` are at or before it. Null keys come first."""
+    nulls = [d for k, d in starts if k is None]
+    at = np.array([k for k, _ in starts if k is not None], np.int64)
+    digests = [d for k, d in starts if k is not None]
+
+    def place(null: pd.Series, key: pd.Series, digest: pd.Series) -> pd.Series:
+        none, keys = null.to_numpy(), key.to_numpy()
+        low, high = np.searchsorted(at, keys, "left"), np.searchsorted(at, keys, "right")
+        out = len(nulls) + low
+        for i in np.flatnonzero((low < high) & ~none):  # keys at which shards start: their digests decide
+            out[i] += bisect_right(digests[low[i] : high[i]], digest.iat[i])
+        for i in np.flatnonzero(none):
+            out[i] = bisect_right(nulls, digest.iat[i])
+        return pd.Series(out.astype(np.int32))
+
+    return F.pandas_udf(place, "int")
 
 
 def write_warc(pages: DataFrame, out: str, key_col: str = "page_id", url_col: str = "url", payload_col: str = "html", roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write one record for each page below ``out`` and return the manifest (``MANIFEST``).
 
-    The payloads are dealt once, by the first keys of the shards, and meet what is planned for them in sorted order.
-    Records are sorted by key within contiguous shards; each shard's files roll at ``roll_bytes`` compressed. A task
-    writes under names of its own attempt and reports them in a manifest that Spark commits for the attempt that wins;
+    The payloads are dealt once, by the first key and digest of the shards, a shard to a task, and meet what is planned for
+    them in sorted order. Records are sorted by key, then digest, within contiguous shards, nulls first; only pages equal in
+    both are never parted. Each shard's files roll at ``roll_bytes`` compressed. A task writes under names of its own attempt and reports them in a manifest that Spark commits for the attempt that wins;
     then the files get their names, and what other attempts left is removed. A null payload is empty; a null key has an
     empty key header; no pages give no files.
     """
     spark = pages.sparkSession
     plan = planned(pages, key_col, url_col, payload_col)
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
-    starts = [r.start for r in plan.groupBy("shard").agg(F.min("key").alias("start")).orderBy("shard").collect()[1:]]  # one of each shard
-    shard = F.size(F.filter(F.array(*map(F.lit, starts)).cast("array<long>"), lambda x: x <= F.col("key")))
+    firsts = plan.groupBy("shard").agg(F.min(F.struct("key", "digest")).alias("start")).orderBy("shard").collect()[1:]  # one of each shard
+    shard = _shard_of([(r.start.key, r.start.digest) for r in firsts])
     order = ["shard", "key", "digest", "url", "tag"]
     facts = plan.dropDuplicates(["key", "digest", "url"]).select("key", "digest", "url", F.lit(0).alias("tag"), "refers_to", "refers_url", F.lit(None).cast("binary").alias("payload"))
     html = pages.select(F.col(key_col).cast("long").alias("key"), F.sha2(payload, 256).alias("digest"), F.col(url_col).alias("url"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"), payload.alias("payload"))
-    rows = facts.union(html).withColumn("shard", F.when(F.col("key").isNull(), 0).otherwise(shard))
-    rows = rows.select(*order, "refers_to", "refers_url", "payload").repartition(partitions(spark), "shard").sortWithinPartitions(*order)
+    rows = facts.union(html).withColumn("shard", shard(F.col("key").isNull(), F.coalesce("key", F.lit(0)), "digest")).select(*order, "refers_to", "refers_url", "payload")
+    rows = rows.repartitionById(max(partitions(spark), len(firsts) + 1), F.col("shard")).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = table_fs(out)

@@ -62,15 +62,18 @@ def _rolled(hashed: str, k: Column) -> Column:
 
 def windows(df: DataFrame, lines: str) -> DataFrame:
     """``df`` without its lines, a row (hash, k) for each window: a hash rolled over the hashes of lines k and k + 1, and one
-    of each line that is still over-long alone, with k its place negative and less 1."""
+    of each line that is still over-long alone, with k its place negative and less 1. Besides, a row (null, number of lines)
+    for each row with lines, be they none."""
     hashed, n, at = own(df, "line_hashes", "n", "at")
     out = _held(df, hashed, _hashes(lines))
     last = F.size(hashed) - 1
     pairs = F.transform(F.col(hashed), lambda x, i: F.when(i < last, _digest(x, F.get(F.col(hashed), i + 1))))
     alone = F.transform(F.col(lines), lambda x, i: F.when(F.length(x) > LONG, _digest(F.get(F.col(hashed), i))))
     rest = [F.col(f"`{c}`") for c in df.columns if c != lines]
-    out = out.select(*rest, F.size(hashed).alias(n), F.posexplode(F.concat(pairs, alone)).alias(at, "hash")).filter("hash is not null")
-    return out.select(*rest, "hash", F.when(F.col(at) < F.col(n), F.col(at)).otherwise(F.col(n) - 1 - F.col(at)).alias("k"))
+    out = out.select(*rest, F.size(hashed).alias(n), F.posexplode(F.concat(pairs, alone, F.array(F.lit(None).cast("long")))).alias(at, "hash"))
+    out = out.filter(F.col("hash").isNotNull() | (F.col(at) == 2 * F.col(n)))
+    k = F.when(F.col(at) < F.col(n), F.col(at)).when(F.col(at) < 2 * F.col(n), F.col(n) - 1 - F.col(at)).otherwise(F.col(n))
+    return out.select(*rest, "hash", k.alias("k"))
 
 
 def _places(found: Column) -> Column:
@@ -121,17 +124,22 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     rank, key, lines, marks, spared, n_lines, n_removed = own(df, "line_rank", "text_key", "lines", "marks", "spared", "n_lines", "n_removed")
     m_rank, m_key, s_rank, s_key, left, codes, found, hashed = own(df, "m_rank", "m_key", "s_rank", "s_key", "left", "codes", "found", "line_hashes")
+    n, = own(df, "n")
     cut = Spare()
     named = df.withColumns({rank: F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1)), key: F.xxhash64(text_col)})
     slim = named.select(F.col(rank).alias("rank"), F.col(key).alias("key"), F.explode(F.array(lines_of(F.col(text_col)))).alias("lines"))
     every = cut(windows(slim, "lines"), "windows")
-    first = cut(every.groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first"), "first")
+    first = cut(every.filter("hash is not null").groupBy("hash").agg(F.min("rank").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash", "first"), "first")
     met = every.hint("merge").join(first.hint("merge"), "hash")  # one kind of join at every size, of which hot hashes are split
     code = F.col("k") * 2 + (F.col("rank") > F.col("first")).cast("int")
-    known = cut(met.groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key)).agg(F.collect_set(code).alias(codes)), "marks")  # a text's own windows
+    met = met.select("rank", "key", code.alias("code"), F.lit(None).cast("int").alias("n"))
+    sizes = every.filter("hash is null").select("rank", "key", F.lit(None).cast(met.schema["code"].dataType).alias("code"), F.col("k").alias("n"))
+    known = met.union(sizes).groupBy(F.col("rank").alias(m_rank), F.col("key").alias(m_key))
+    known = cut(known.agg(F.collect_set("code").alias(codes), F.max("n").alias(n)).withColumn(codes, F.when(F.size(codes) > 0, F.col(codes))), "marks")  # a text's own windows
     cut.drop_but(known)
     joined = named.hint("merge").join(known.hint("merge"), (F.col(rank) == F.col(m_rank)) & (F.col(key) == F.col(m_key)), "left").drop(m_rank, m_key)
-    joined = _held(joined, lines, lines_of(F.col(text_col))).drop(text_col)
+    split = F.when(F.col(codes).isNotNull(), lines_of(F.col(text_col))).when(F.col(text_col).isNotNull(), F.array(text_col))  # what stays whole is not split again
+    joined = _held(joined, lines, split).drop(text_col)
     joined = _held(joined, hashed, F.when(F.col(codes).isNotNull(), _hashes(lines)))
     place = lambda c: F.floor(c / 2).cast("int")
     ordered = F.sort_array(F.transform(F.col(codes), lambda c: F.struct(_rolled(hashed, place(c)).alias("hash"), place(c).alias("k"), (F.pmod(c, F.lit(2)) == 1).alias("later"))))
@@ -151,10 +159,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = _held(whole, left, F.when(F.col(marks).isNull(), every).otherwise(F.array_except(every, _places(lost))))
     text = F.array_join(F.transform(F.col(left), lambda i: F.get(F.col(lines), i)), "")
     text = F.when(F.col(lines).isNull(), F.lit(None).cast("string")).when(F.col(marks).isNull(), F.array_join(lines, "")).otherwise(text)
-    size = F.coalesce(F.size(lines), F.lit(0))
+    size = F.coalesce(F.col(n), F.lit(0))
     return kept.select(
         *(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in df.columns),
-        F.greatest(size, F.lit(0)).alias(n_lines), F.when(F.col(marks).isNull(), F.lit(0)).otherwise(size - F.size(left)).alias(n_removed),
+        size.alias(n_lines), F.when(F.col(marks).isNull(), F.lit(0)).otherwise(size - F.size(left)).alias(n_removed),
     )
 
 

@@ -21,7 +21,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SHORT = 48
 """Bytes up to which a word's ranks are held in an array and scanned; a longer word uses a heap."""
 CACHE = 200_000
-"""Words whose ids a worker remembers; beyond it the memory starts anew."""
+"""Words of up to SHORT characters whose ids a worker remembers; beyond it the memory starts anew. Longer words are forgotten at once."""
 NONE = np.int32(1 << 30)
 
 
@@ -166,8 +166,13 @@ class Vocabulary:
             self.cache.clear()
         for s, i in self.special.items():
             self.cache[(s,)] = i.to_bytes(4, "little")
-        self.learn(set().union(*split) - self.cache.keys())
-        return [b"".join(map(self.cache.__getitem__, pieces)) for pieces in split]
+        new = set().union(*split) - self.cache.keys()
+        self.learn(new)
+        out = [b"".join(map(self.cache.__getitem__, pieces)) for pieces in split]
+        for w in new:
+            if len(w) > SHORT:
+                del self.cache[w]
+        return out
 
     def decode(self, ids: list[bytes]) -> list[str]:
         """The text of each run of ids; bytes that are no UTF-8 become U+FFFD."""
@@ -207,7 +212,8 @@ def _coded(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterato
 
 
 def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, ``n_tokens``, ``ids`` array<int>. Null and empty texts have no tokens; repeated rows are coded alike."""
+    """One row per input row: id, ``n_tokens``, ``ids`` array<int>. Null and empty texts have no tokens; repeated rows are coded
+    alike, null ids stay, other columns are left behind, an empty table gives an empty one."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +227,8 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """One row per input row: id, ``text`` of its ids, special tokens included. Null ids give an empty text."""
+    """One row per input row: id, ``text`` of its ids, special tokens included. Null ids of tokens give an empty text; rows are otherwise
+    treated as by ``encode``."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +244,8 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
 
 def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """One row per input row: id, ``n_tokens``, ``ids_sha256`` (of the ids as little-endian unsigned 32-bit), ``decoded_sha256``
-    (of the text decoded from them, in UTF-8), and ``ids`` if asked for; encoded and decoded in one pass."""
+    (of the text decoded from them, in UTF-8), and ``ids`` if asked for; encoded and decoded in one pass.
+    Null texts count as empty ones; rows are otherwise treated as by ``encode``."""
     shared = df.sparkSession.sparkContext.broadcast(load(path))
     sha = lambda x: hashlib.sha256(x).hexdigest()
 

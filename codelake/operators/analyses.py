@@ -36,6 +36,17 @@ def dead_code(symbols: DataFrame, edges: DataFrame, entrypoints: DataFrame) -> D
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def _window_hashes(t: np.ndarray, base: int, k: int) -> np.ndarray:
+    """Of each run of k tokens, the sum of its hashes times falling powers of an odd base, modulo 2^64.
+
+    Prefix sums over rising powers of the base's inverse give all of them in one pass, whatever k is.
+    """
+    n = len(t)
+    powers = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(n - 1, x, np.uint64)])
+    sums = np.r_[np.uint64(0), np.cumsum(t * powers(pow(base, -1, 1 << 64)))]
+    return (sums[k:] - sums[: n - k + 1]) * powers(base)[k - 1 :]
+
+
 def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (file, pos) -> a row for each window of k tokens in a file, keyed by two hashes of its content.
 
@@ -50,12 +61,7 @@ def _windows(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
             files = rows.column("file").combine_chunks().dictionary_encode()
             code = files.indices.to_numpy()
             token = [rows.column(c).to_numpy().view(np.uint64) for c in ("t1", "t2")]
-            keys = []
-            for t, b in zip(token, BASES, strict=True):
-                acc = np.zeros(n - k + 1, np.uint64)
-                for j in range(k):
-                    acc = acc * np.uint64(b) + t[j : n - k + 1 + j]
-                keys.append(acc.view(np.int64))
+            keys = [_window_hashes(t, b, k).view(np.int64) for t, b in zip(token, BASES, strict=True)]
             ok = np.flatnonzero(code[: n - k + 1] == code[k - 1 :])
             at = pa.array(ok)
             yield pa.RecordBatch.from_arrays(

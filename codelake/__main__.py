@@ -8,7 +8,7 @@ import sys
 
 from .metrics import emit, headers, service_name
 from .plans.codegraph import scan
-from .report import as_json, gate, human, rows, sarif
+from .report import as_json, each, gate, human, rows, rules_seen, sarif_pieces
 from .serve import lsp, mcp
 from .session import get_spark
 from .sources.git import origin
@@ -20,8 +20,11 @@ def check(args: argparse.Namespace) -> int:
         return 1
     spark = get_spark()
     done = scan(spark, args.path)
-    found = rows(done.findings)
-    print({"human": human, "json": as_json, "sarif": sarif}[args.format](found), end="" if args.format == "human" else "\n")
+    if args.format == "sarif":
+        sys.stdout.writelines(sarif_pieces(rules_seen(done.findings), each(done.findings)))
+        print()
+    else:
+        print({"human": human, "json": as_json}[args.format](rows(done.findings)), end="" if args.format == "human" else "\n")
     if args.otlp_endpoint:
         where = origin(spark, args.path)
         emit(done, args.otlp_endpoint, service_name(args.project, args.path, where["repo"]), where, headers(spark, os.environ.get("OTEL_EXPORTER_OTLP_HEADERS")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from .operators import analyses, graph, resolve
 from .parse.model import enclosing, normalize
 from .parse.tokens import Token
 from .plans.codegraph import CodeGraph, parse_files
-from .report import by_rule, diagnostics, gate, metrics, rows, sarif, scan_stats, totals, union
+from .report import by_rule, diagnostics, gate, metrics, rules_seen, sarif_tool, scan_stats, totals, union
 from .schema import RULES, SEVERITIES
 from .sources.git import count_commits
 from .sources.tables import read_table
@@ -267,7 +266,7 @@ def gate_by_threshold(t: Tables) -> DataFrame:
 
 
 def sarif_rules_first_seen(t: Tables) -> DataFrame:
-    driver = json.loads(sarif(rows(every_finding(t))))["runs"][0]["tool"]["driver"]
+    driver = sarif_tool(rules_seen(every_finding(t)))["driver"]
     return t.spark.createDataFrame([(r["id"], RULES.index(r["id"])) for r in driver["rules"]], "rule string, place int")
 
 
